@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _eq(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str, total: int, hot_share: float = 1 / 256) -> DataFrame:
     """Inner join of ``facts`` with ``lookup`` (one row a key), safe against hot keys.
 
@@ -21,15 +17,14 @@ def attach(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str, tota
     which no key has more than that share. Null keys match null keys. ``lookup[rows]`` stays in the result.
     """
     least = max(total * hot_share, 1.0)
-    hot = lookup.where(F.col(rows) >= least).limit(int(1 / hot_share) + 1)
-    cold = lookup.where(F.col(rows) < least)
-    flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    marked = facts.join(flags, _eq(facts, flags, keys), "left").select(facts["*"], F.col("_hot"))
-    small = F.broadcast(hot)
-    from_hot = marked.where("_hot").drop("_hot")
-    from_hot = from_hot.join(small, _eq(from_hot, small, keys)).select(from_hot["*"], *[small[c] for c in lookup.columns if c not in keys])
-    from_cold = marked.where("_hot IS NULL").drop("_hot")
-    from_cold = from_cold.join(cold, _eq(from_cold, cold, keys)).select(from_cold["*"], *[cold[c] for c in lookup.columns if c not in keys])
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    other = lookup.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    hot, cold = other.where(F.col(rows) >= least), other.where(F.col(rows) < least)
+    flags = hot.select(*names.values(), F.lit(True).alias("_hot"))
+    marked = facts.join(F.broadcast(flags), same, "left").drop(*names.values())
+    from_hot = marked.where("_hot").drop("_hot").join(F.broadcast(hot), same).drop(*names.values())
+    from_cold = marked.where("_hot IS NULL").drop("_hot").join(cold, same).drop(*names.values())
     return from_hot.unionByName(from_cold)
 
 
