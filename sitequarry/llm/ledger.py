@@ -39,7 +39,7 @@ def address_key(address: Column) -> Column:
     host = F.regexp_replace(F.regexp_extract(where, r"(?s)^([^/]*)", 1), r"^www\.", "")
     host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).otherwise(F.regexp_replace(host, r":443$", ""))
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(where, r"(?s)^[^/]*(.*)$", 1), "/+", "/"), "/$", "")
-    parameters = F.array_sort(F.filter(F.transform(F.split(query, "&"), lambda p: _decoded(p)), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    parameters = F.sort_array(F.filter(F.transform(F.split(query, "&"), lambda p: _decoded(p)), lambda p: (p != "") & ~p.rlike(TRACKING)))
     tail = F.when(query == "", "").otherwise(F.concat_ws("", F.transform(parameters, lambda p: F.concat(F.lit("\u0001"), p))))
     return F.when(text != "", F.concat(scheme, F.lit("://"), host, path, tail))
 
