@@ -9,7 +9,7 @@ from sitequarry.operators.skew import neighbour
 from sitequarry.sources.tables import materialize
 
 #: Children of each node of the tree, a power of two, and its levels below the root.
-FANOUT_BITS, LEVELS = 4, 2
+FANOUT_BITS, LEVELS = 2, 3
 
 
 def current_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def _entries(pages: Column) -> Column:
         F.xxhash64(p["url"]).alias("h"), p["url"].alias("url"), (-i).alias("i"),
         F.lower(p["content_hash"]).alias("content_hash"), p["title"].alias("title"), p["description"].alias("description"),
     )
-    ordered = F.array_sort(F.transform(known, as_entry))
+    ordered = F.sort_array(F.transform(known, as_entry))
     # after the sort by (h, url, -i) the first of a run of equal urls is the url's last entry
     with_before = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda e: e["url"])), lambda e, before: F.struct(e.alias("e"), before.alias("before")))
     return F.transform(F.filter(with_before, lambda x: x["e"].isNotNull() & (x["before"].isNull() | (x["before"] != x["e"]["url"]))), lambda x: x["e"])
