@@ -4,5 +4,5 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["ledger_queries", "repeats_queries", "truncation_queries", "mixing_queries", "packing_queries", "near_duplicates_queries"]
+NAMES = ["ledger_queries", "repeats_queries", "truncation_queries", "mixing_queries", "packing_queries", "near_duplicates_queries", "encoding_queries"]
 MODULES = [importlib.import_module(f"sitequarry.llm.{name}") for name in NAMES]
