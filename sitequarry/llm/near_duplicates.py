@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.functions.binding import let
 from sitequarry.llm.rows import one_per_page
 from sitequarry.operators.skew import attach
 from sitequarry.sources.tables import materialize
@@ -40,10 +41,14 @@ def shingle_sets(pages: DataFrame, words: int = 5, least_words: int = 1) -> Data
     """
     word = r"[\p{L}\p{N}]+"
     rows = pages.where("page_id IS NOT NULL AND text IS NOT NULL").where(F.regexp_count("text", F.lit(word)) >= least_words)
-    rows = rows.select("page_id", "loaded_at", F.regexp_extract_all(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")), F.lit(word), F.lit(0)).alias("w"))
-    starts = F.slice("w", F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(0)))
-    shingle = lambda x, i: F.shiftright(F.xxhash64(x, *[F.get("w", i + k) for k in range(1, words)]), 32).cast("int")
-    rows = rows.select("page_id", "loaded_at", F.sort_array(F.array_distinct(F.transform(starts, shingle))).alias("shingles")).where(F.size("shingles") > 0)
+    all_words = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")), F.lit(word), F.lit(0))
+
+    def shingles(w: Column) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(0)))
+        one = lambda x, i: F.shiftright(F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)]), 32).cast("int")
+        return F.sort_array(F.array_distinct(F.transform(starts, one)))
+
+    rows = rows.select("page_id", "loaded_at", let(all_words, shingles).alias("shingles")).where(F.size("shingles") > 0)
     return rows.select("page_id", "loaded_at", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(7), "shingles").alias("h2"), "shingles")
 
 
