@@ -4,5 +4,5 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["ledger_queries", "repeats_queries", "truncation_queries", "mixing_queries", "packing_queries", "near_duplicates_queries", "encoding_queries", "residue_queries"]
+NAMES = ["boilerplate_queries", "repeats_queries", "encoding_queries", "near_duplicates_queries", "ledger_queries", "residue_queries", "packing_queries", "mixing_queries", "truncation_queries"]
 MODULES = [importlib.import_module(f"sitequarry.llm.{name}") for name in NAMES]
