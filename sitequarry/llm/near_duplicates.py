@@ -230,8 +230,9 @@ class NearDuplicates:
         self.members = materialize(attach(latest, classes, ["h1", "h2"], "class_rows", self.total).select("page_id", "class_id", "class_rows"))
         # a class's set comes from the row of its first page: other copies aren't shuffled as sets
         firsts = classes.select(F.col("class_id").alias("page_id"), "h1", "h2")
-        sets = all_sets.join(firsts, ["page_id", "h1", "h2"]).groupBy(F.col("page_id").alias("id")).agg(F.first("shingles").alias("shingles"))
-        self.sets = materialize(sets)
+        # the grouping has the join's keys, so sets are shuffled once
+        sets = all_sets.join(firsts, ["page_id", "h1", "h2"]).groupBy("page_id", "h1", "h2").agg(F.first("shingles").alias("shingles"))
+        self.sets = materialize(sets.select(F.col("page_id").alias("id"), "shingles"))
         self.pairs = materialize(self._verified(threshold))
 
     def _candidates(self, threshold: float) -> DataFrame:
