@@ -12,7 +12,7 @@ from sitequarry.llm.tokens import document_tokens
 from sitequarry.sources.tables import materialize
 
 #: Pieces a block, on average: a block is packed by one task call, whatever the size of the collection.
-BLOCK = 2048
+BLOCK = 8192
 #: Search nodes a block beyond the first descent, and fillings tried at a node.
 EXTRA_NODES, BRANCHES = 400, 3
 

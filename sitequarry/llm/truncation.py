@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitequarry.sources.tables import materialize
 
 #: A length is a hidden limit of a source when so many texts have it exactly and it is this many times as frequent as its neighbourhood.
-LEAST_AT_LIMIT, LEAST_LIFT = 6, 5.0
+LEAST_AT_LIMIT, LEAST_LIFT = 6, 12.0
 #: Of the texts that have it, at least this share must end openly; else it is a length that texts happen to have.
 LEAST_OPEN = 0.3
 #: The neighbourhood: lengths within this share of the length.
