@@ -21,8 +21,9 @@ ORDER, TABLE_BITS = 5, 18
 SAMPLE_VALUES = 6000
 #: Width of the likelihood-ratio windows; a window above LEAST_RATIO (mean natural logarithm a character) is residue.
 WINDOW, LEAST_RATIO = 14, 0.7
-#: A sentence of which this share lies in residue windows is residue.
-LEAST_COVERAGE = 0.55
+#: A sentence of which this share lies in residue windows is residue; one that begins with residue counts LEADING times,
+#: as a quotation stands within its sentence, and a notice begins with its message and goes on with a name or number.
+LEAST_COVERAGE, LEADING = 0.42, 1.5
 #: A placeholder is quoted, not left over, where so many distinct sentences have it after (or before) the same words,
 #: and hardly any other placeholder stands there.
 LEAST_QUOTES, LEAST_PURITY = 4, 0.85
@@ -34,7 +35,7 @@ LATIN = (
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 
-#: Labelled examples of filler, one a line.
+#: Labelled examples of filler, one a line; {} stands for a name.
 FILLER = """asdf asdf qwer asdf
 qwerty qwerty asdf jkl
 xxx xxx xxxx xxx
@@ -42,9 +43,11 @@ test test test test
 text text text text text.
 blah blah blah
 this is placeholder copy.
-placeholder text for this section
+placeholder text goes here
 dummy text goes here
 sample text, please replace
+sample text for the {} box.
+sample text for this text box
 replace this paragraph with your own words.
 add your own text here
 click here to edit this text
@@ -53,6 +56,8 @@ your headline here
 todo: write this section
 insert text here
 enter description here
+coming soon!
+content will follow shortly
 hier steht ein blindtext.
 dies ist ein platzhaltertext.
 hier kommt noch text hin
@@ -76,7 +81,6 @@ sign in to your account
 log in
 log out
 get started
-coming soon!
 skip to content
 cookie settings
 please accept our cookies
@@ -87,6 +91,14 @@ was this page helpful?
 the information on this page is provided without warranty.
 customers
 service
+a service by us · accessibility
+ein angebot von uns · barrierefreiheit
+un service de la maison · accessibilité
+un servicio de la casa · accesibilidad
+um serviço da casa · acessibilidade
+serwis · dostępność
+сервис · доступность
+home
 wait for the next release
 try again later this week
 anmelden
@@ -97,7 +109,7 @@ iniciar sessão
 zaloguj się
 войти"""
 
-#: Labelled examples of error, access, waiting and script notices, one a line; {} stands for a site's name.
+#: Labelled examples of error, access, waiting and script notices, one a line; {} stands for a name.
 NOTICES = """404 not found
 403 forbidden
 500 internal server error
@@ -108,6 +120,13 @@ error 404: the page you are looking for could not be found.
 error 500: something went wrong on our side.
 the requested page does not exist or has been moved.
 page not found
+sorry, this page has gone missing. go back to the start page of {}.
+oops! we can't find that page. return to the home page.
+internal error while rendering {} (code 00)
+fatal error: uncaught exception in {} on line 00
+traceback: {}error in {} at line 00
+this page is under construction.
+this site page is under construction.
 access denied. request id 0000-abc-00.
 you do not have permission to view this page.
 you must sign in to view this content.
@@ -196,13 +215,13 @@ def _rates(texts: list[str]) -> np.ndarray:
 def fit(prose: list[str], seed: int = 7) -> np.ndarray:
     """Table of log-likelihood ratios by n-gram: the greatest of filler phrases, filler Latin and notices, against natural prose."""
     rng = random.Random(seed)
-    filler = [x for line in FILLER.split("\n") for x in (line, line.replace(" ", ""))]
+    filler = [x for line in FILLER.split("\n") for x in (line.replace("{}", ""), line.replace("{}", "").replace(" ", ""))]
     latin = [" ".join(rng.choice(LATIN) for _ in range(rng.randint(6, 16))) + "." for _ in range(1500)]
     notices = [x for line in NOTICES.split("\n") for x in (line.replace("{}", ""), line.replace("{}", "").replace(" ", ""))]
     floor = 3e-6
     natural = 0.9 * _rates(prose) + 0.1 * _rates(FURNITURE.split("\n")) + floor
     ratio = np.max([np.log((_rates(lines) + floor) / natural) for lines in (filler, latin, notices)], axis=0)
-    return np.clip(ratio - 0.25, -3.0, 3.0).astype(np.float32)
+    return np.clip(ratio - 0.25, -1.0, 3.0).astype(np.float32)
 
 
 def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +252,10 @@ def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray,
         mean = (total[high] - total[low]) / (number[high] - number[low])
     hit = inside & (mean > LEAST_RATIO)
     hits, valid = np.bincount(of, hit, len(first)), np.bincount(of, inside, len(first))
-    coverage = np.where(valid >= 3, hits / np.maximum(valid, 1), 0.0)
+    coverage = np.where(valid >= 6, hits / np.maximum(valid, 1), 0.0)
+    run = np.r_[0, np.cumsum(hit)]
+    lead = np.minimum(8, np.maximum(valid, 1)).astype(np.int64)
+    coverage = np.where((run[np.minimum(first + lead, len(codes))] - run[first]) >= lead, np.minimum(1.0, coverage * LEADING), coverage)
     text_start = np.r_[0, np.cumsum(lengths)]
     owner = np.searchsorted(text_start, first, side="right") - 1
     return owner, first - text_start[owner], size, coverage
