@@ -31,8 +31,8 @@ LOST = "lost"
 
 #: Prior strength (records) of the chains' shares over a source and field; share of garbled records to begin with.
 PRIOR_RECORDS, PRIOR_SHARE = 20.0, 0.02
-#: A multi-byte sequence that decodes is so much evidence (natural logarithm); one word counts at most MOST.
-SEQUENCE, MOST = 3.0, 8.0
+#: A multi-byte sequence that decodes is so much evidence (natural logarithm), at most MOST a word; with frequencies a word counts at most WORD.
+SEQUENCE, MOST, WORD = 3.0, 8.0, 14.0
 #: A one-byte code read as another is only considered for words of so many characters.
 LEAST_WORD = 3
 #: Rounds of expectation and maximisation.
@@ -89,8 +89,7 @@ def repairs(words: DataFrame) -> DataFrame:
             out = []
             for word in frame["word"]:
                 if "�" in word:
-                    near = any(c == "�" and (word[max(0, i - 1) : i].isalpha() or word[i + 1 : i + 2].isalpha()) for i, c in enumerate(word))
-                    out.append((word, LOST, None, 2 if near or len(word) > 1 else 0, len(word) == 1))
+                    out.append((word, LOST, None, 2, len(word) == 1))
                     continue
                 seen = set()
                 control = any(0x80 <= ord(c) < 0xA0 for c in word)
@@ -101,7 +100,7 @@ def repairs(words: DataFrame) -> DataFrame:
                     if fixed is None or fixed in seen:
                         continue
                     seen.add(fixed)
-                    many = sum(ord(c) > 127 for c in fixed) if chain.startswith("utf-8") else 0
+                    many = sum(ord(c) > 127 for c in fixed) * chain.count(">") if chain.startswith("utf-8") else 0
                     out.append((word, chain, fixed, many, len(fixed) == 1))
             yield pd.DataFrame(out, columns=["word", "chain", "repaired", "sequences", "alone"])
 
@@ -130,7 +129,7 @@ def evidence(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     strip = r"^[\x21-\x2F:-@\[-`{-~]+|[\x21-\x2F:-@\[-`{-~]+$"
     ways = ways.withColumn("low", F.regexp_replace("low", strip, ""))
     ways = ways.join(natural, "low", "left").join(counts, "word")
-    bonus = F.when(F.col("chain") == LOST, F.when(F.col("sequences") > 0, F.lit(MOST)).otherwise(F.lit(-1.0))).when(F.col("alone"), -1.0).otherwise(F.least(F.lit(MOST), F.col("sequences") * SEQUENCE))
+    bonus = F.when(F.col("chain") == LOST, F.lit(MOST)).when(F.col("alone"), -1.0).otherwise(F.least(F.lit(MOST), F.col("sequences") * SEQUENCE))
     ways = ways.withColumn("bonus", bonus).withColumn("df_repaired", F.coalesce("df_repaired", F.lit(0)))
     first = F.when(F.col("chain") == LOST, 0.0).otherwise(F.log((F.col("df_repaired") + 0.5) / (F.col("df") + 0.5)))
     words = materialize(ways.where(first + F.col("bonus") > -0.5).select("word", "chain", "df", "df_repaired", "bonus", "repaired"))
@@ -162,7 +161,7 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     scored = None
     for _ in range(ROUNDS):
         ratio = F.when(F.col("chain") == LOST, 0.0).otherwise(F.log((F.col("df_repaired") + 0.5) / (F.col("natural") + 0.5)))
-        llr = F.least(F.lit(MOST), F.greatest(F.lit(-MOST), ratio + F.col("bonus")))
+        llr = F.least(F.lit(WORD), F.greatest(F.lit(-WORD), ratio + F.col("bonus")))
         score = pairs.join(rest, "word").groupBy("site_id", "field", "page_id", "chain").agg(F.sum(llr).alias("llr"))
         if shares is None:
             score = score.withColumn("share", F.lit(PRIOR_SHARE / 4)).withColumn("none", F.lit(1 - PRIOR_SHARE))
@@ -211,9 +210,9 @@ def restored(pages: DataFrame, least: float = 0.5) -> DataFrame:
     values = values.join(cases.select("page_id").distinct(), "page_id", "left_semi").select("page_id", each.alias("x")).select("page_id", "x.*")
     values = values.join(cases, ["field", "page_id"])
     own = rows.join(cases.select("field", "page_id", "chain"), ["field", "page_id"]).select("field", "page_id", "chain", F.explode("words").alias("word"))
-    # for each word the record's chain, else the repair that occurs most often
+    # for each word the repair that occurs most often elsewhere, of equal ones that of the record's chain
     fixes = own.join(words.where("repaired IS NOT NULL").withColumnRenamed("chain", "way"), "word")
-    fixes = fixes.where("df_repaired > 0 OR way = chain").groupBy("field", "page_id", "word").agg(F.max_by("repaired", F.struct(F.col("way") == F.col("chain"), "df_repaired")).alias("repaired"))
+    fixes = fixes.where("df_repaired > 0 OR way = chain OR way LIKE 'utf-8%'").groupBy("field", "page_id", "word").agg(F.max_by("repaired", F.struct("df_repaired", F.col("way") == F.col("chain"))).alias("repaired"))
     maps = fixes.groupBy("field", "page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("fixes"))
     both = values.join(maps, ["field", "page_id"], "left")
     strip = r"^([\x21-\x2F:-@\[-`{-~]*)(.*?)([\x21-\x2F:-@\[-`{-~]*)$"

@@ -116,8 +116,8 @@ def truncated(documents: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, reason, measure, length) of every truncated document.
 
     Endings: an open code fence, a mark of cutting that isn't a shared style line, prose without an end of
-    sentence, or a list item, heading or signature whose last word can't end one. A text at a hidden limit of its source
-    needs only an ending that isn't clearly closed. ``measure`` and ``length`` name the limit, where there is one.
+    sentence, or a list item, heading or signature whose last word can't end one. A list item at a hidden limit of
+    its source needs no other sign. ``measure`` and ``length`` name the limit, where there is one.
     Null and blank texts are not truncated. Rows with equal doc_id are judged each by their text.
     """
     rows = materialize(features(documents)) if rows is None else rows
@@ -139,7 +139,7 @@ def truncated(documents: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         F.when(F.col("shape") == "open fence", "open fence")
         .when(F.col("shape") == "mark", F.when(F.col("sharing").isNull(), "mark"))
         .when(F.col("shape") == "prose", F.when(F.col("sharing").isNull(), "unfinished sentence"))
-        .when(F.col("shape") == "item", F.when(F.col("limit").isNotNull(), "at limit").when(odd_end, "unfinished item").when(F.col("cut_space"), "trailing space"))
+        .when(F.col("shape") == "item", F.when(F.col("limit").isNotNull() & F.col("last").rlike(LIST), "at limit").when(odd_end, "unfinished item").when(F.col("cut_space"), "trailing space"))
     )
     return joined.select("doc_id", "source", reason.alias("reason"), "limit.measure", "limit.length").where("reason IS NOT NULL")
 
