@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitequarry.operators import history, validate
 from sitequarry.operators.progress import progress
 from sitequarry.operators.skew import neighbour
+from sitequarry.plans.snapshot_queries import _PAIRS
 from sitequarry.sources.tables import table
 from sitequarry.streaming.refresh import crawl_rate_stream, latest_snapshot_stream
 
@@ -145,8 +146,12 @@ QUERIES = {
 }
 _LATEST = _S + "SELECT site_id, snapshot_id, created_at, len(pages) pages FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, snapshot_id DESC) r FROM s) WHERE r = 1"
 _SPLIT = "list_distinct(list_filter(list_transform(string_split(coalesce(__T__, ''), E'\\n'), lambda x: " + _TRIM.replace("{}", "x") + "), lambda x: x <> ''))"
+_HASH = "substr(sha256(coalesce((SELECT string_agg(coalesce(x.url, '') || ':' || coalesce(x.content_hash, ''), chr(0) ORDER BY coalesce(x.url, '') || ':' || coalesce(x.content_hash, '')) FROM (SELECT unnest(pages) x)), '')), 1, 16)"
 SQL = {
-    "snapshot_hashes": _S + "SELECT snapshot_id, substr(sha256(coalesce((SELECT string_agg(coalesce(x.url, '') || ':' || coalesce(x.content_hash, ''), chr(0) ORDER BY coalesce(x.url, '') || ':' || coalesce(x.content_hash, '')) FROM (SELECT unnest(pages) x)), '')), 1, 16) snapshot_hash FROM s",
+    "rebuilt_snapshots": _PAIRS
+    + f", k AS (SELECT snapshot_id, count(*) FILTER (change_type = 'added') added, count(*) FILTER (change_type = 'removed') removed, count(*) FILTER (change_type = 'changed') changed_pages FROM c WHERE change_type IS NOT NULL GROUP BY 1) "
+    f"SELECT s.site_id, s.snapshot_id, {_HASH} snapshot_hash, coalesce(added, 0) added, coalesce(removed, 0) removed, coalesce(changed_pages, 0) changed_pages, prev_id IS NULL OR k.snapshot_id IS NOT NULL changed FROM s JOIN p USING (snapshot_id) LEFT JOIN k USING (snapshot_id)",
+    "snapshot_hashes": _S + f"SELECT snapshot_id, {_HASH} snapshot_hash FROM s",
     "latest_snapshot": _LATEST,
     "top_snapshots": _S + "SELECT site_id, snapshot_id, created_at, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, snapshot_id DESC) r FROM s) WHERE r <= 3",
     "diff_text": _S

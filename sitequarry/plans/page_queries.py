@@ -182,3 +182,19 @@ SQL = {
     + _lead_sql("text", 180)
     + " AS lead, substr(sha256(coalesce(title, '') || chr(0) || chr(0) || text), 1, 16) content_hash FROM documents",
 }
+
+
+def _more_sql() -> dict[str, str]:
+    from sitequarry.plans.history_queries import _LINES
+
+    safe = _SAFE.format(_ws("coalesce(title, '')"))
+    lines = _LINES(SQL["render_index"], "site_id", "llms_txt")
+    return {
+        "validate_rendered": lines + ", k AS (SELECT site_id, count(*) FILTER (level = 'error') errors FROM i GROUP BY 1), m AS (SELECT site_id, count(*) FILTER (role = 'section') sections, count(*) FILTER (role = 'link') links FROM u GROUP BY 1) "
+        "SELECT f.site_id, coalesce(errors, 0) = 0 valid, coalesce(errors, 0) errors, coalesce(sections, 0) sections, coalesce(links, 0) links FROM f LEFT JOIN k USING (site_id) LEFT JOIN m USING (site_id)",
+        "render_full": f"WITH ri AS ({SQL['render_index']}), pt AS ({PAGES_SQL} SELECT site_id, seq, url, title, text FROM pg WHERE text <> '') "
+        f"SELECT site_id, 0 part, llms_txt chunk FROM ri UNION ALL SELECT site_id, seq + 1, '# ' || {safe} || E'\\n\\nSource: ' || url || E'\\n\\n' || text || E'\\n\\n---' FROM pt",
+    }
+
+
+SQL |= _more_sql()

@@ -113,7 +113,8 @@ def crawl_depths(spark: SparkSession, root: str) -> DataFrame:
 
 def crawl_finished(spark: SparkSession, root: str) -> DataFrame:
     rows = materialize(_links(spark, root))
-    return crawl.finish(materialize(crawl_pages(spark, root)), crawl.edges(rows), crawl.nav_targets(rows), table(spark, root, "sites").where("monitoring"))
+    done = crawl.finish(materialize(crawl_pages(spark, root)), crawl.edges(rows), crawl.nav_targets(rows), table(spark, root, "sites").where("monitoring"))
+    return done.drop("seq")
 
 
 def inbound_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -251,3 +252,91 @@ SQL = {
     st2 AS (SELECT *, CASE WHEN bot = 'Google-Extended' THEN NULL WHEN (n + k) % 11 = 0 THEN 403 WHEN (n + k) % 13 = 0 THEN NULL ELSE 200 END status, 1000 - k * (n % 7) * 20 len, NOT EXISTS (FROM de WHERE de.site_id = pb.site_id AND token = lower(bot)) ok FROM pb)
     SELECT site_id, bot, ok robots_allowed, CAST(status AS INTEGER) status, NOT ok OR coalesce(status, 200) >= 400 blocked, coalesce(status < 400 AND len < 600, false) shrunk FROM st2""",
 }
+
+_MAPS = r"""
+o AS (SELECT site_id, 'https://' || nhost || '/' o FROM norm_st),
+u4 AS (SELECT site_id, o, unnest(range(1, 5)) i FROM o),
+sm AS (SELECT site_id, o || 'sitemap.xml' sitemap, 'sitemap' kind, p AS pos, o || f url, NULL lastmod, NULL priority FROM o, (VALUES (0, 'one.xml'), (1, 'two.txt')) v(p, f)
+  UNION ALL SELECT site_id, o || 'one.xml', 'page', i - 1, o || 'docs/p' || i || '?a=1&b=' || i, '2026-01-0' || i, CAST('0.' || i AS DOUBLE) FROM u4
+  UNION ALL SELECT site_id, o || 'two.txt', 'page', p, CASE f WHEN 'base' THEN o || 'two.txt' WHEN 'x' THEN 'https://other.example/x' ELSE o || f END, NULL, NULL FROM o, (VALUES (0, 'guides/a'), (1, 'docs/p1?a=1&b=1'), (2, 'base'), (3, 'x'), (4, 'logo.png')) v(p, f))
+"""
+_LAST_FILE = """
+ls AS (SELECT site_id, snapshot_id, llms_txt body FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, snapshot_id DESC) r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC) q FROM snapshots) WHERE q = 1 AND pages IS NOT NULL)) WHERE r = 1)
+"""
+_EXISTING = (
+    _LAST_FILE.rstrip()
+    + r""",
+pz AS (SELECT site_id, coalesce(regexp_matches(body, '^\s*#'), false) present, body FROM ls),
+lk AS (SELECT DISTINCT site_id, regexp_replace(u, '/$', '') u FROM (SELECT site_id, unnest(regexp_extract_all(body, '\]\((https?://[^)\s]+)\)', 1)) u FROM pz WHERE present)),
+cr AS (SELECT DISTINCT site_id, regexp_replace(url, '/$', '') u FROM pg),
+sl AS (SELECT site_id, count(*) n FROM (SELECT * FROM lk EXCEPT SELECT * FROM cr) GROUP BY 1),
+mi AS (SELECT site_id, count(*) n FROM (SELECT * FROM cr EXCEPT SELECT * FROM lk) GROUP BY 1),
+vl AS (__VALID__),
+xf AS (SELECT a.site_id, coalesce(present, false) present, coalesce(present, false) AND coalesce(valid, false) valid, CASE WHEN coalesce(present, false) THEN coalesce(sl.n, 0) ELSE 0 END stale_links, CASE WHEN coalesce(present, false) THEN coalesce(mi.n, 0) ELSE a.n END missing_pages
+  FROM (SELECT site_id, count(*) n FROM pg GROUP BY 1) a LEFT JOIN pz USING (site_id) LEFT JOIN vl USING (site_id) LEFT JOIN sl USING (site_id) LEFT JOIN mi USING (site_id))
+"""
+)
+
+
+def _valid_sql() -> str:
+    """Validity of the newest files, by the SQL of the validation queries."""
+    from sitequarry.plans.history_queries import _LINES
+
+    lines = _LINES("SELECT site_id, body FROM ls", "site_id", "body")
+    return lines.replace("WITH f AS", "WITH f AS", 1) + " SELECT f.site_id, NOT EXISTS (FROM i WHERE i.site_id = f.site_id AND level = 'error') valid FROM f WHERE body IS NOT NULL"
+
+
+_AUDIT = (
+    SQL["audit_bots"].rsplit("SELECT site_id, bot, ok", 1)[0].rstrip()
+    + ", bo AS (SELECT site_id, bot, NOT ok OR coalesce(status, 200) >= 400 blocked, coalesce(status < 400 AND len < 600, false) shrunk FROM st2), "
+    + _COUNTS
+    + ","
+    + _EXISTING.replace("__VALID__", _valid_sql()).rstrip()
+    + r""",
+bs AS (SELECT site_id, count(*) FILTER (blocked) blocked, count(*) FILTER (shrunk) shrunk, coalesce(string_agg(CASE WHEN blocked THEN bot END, ', ' ORDER BY bot), '') bn, coalesce(string_agg(CASE WHEN shrunk THEN bot END, ', ' ORDER BY bot), '') sn FROM bo GROUP BY 1),
+al AS (SELECT s.site_id, rb.body robots_body, CAST(substr(s.site_id, 6) AS BIGINT) % 5 * 40 sitemap_urls, coalesce(pages, 0) pages, coalesce(described, 0) described, coalesce(thin, 0) thin, coalesce(markdown, 0) markdown, coalesce(duplicates, 0) duplicates,
+  coalesce(blocked, 0) blocked, coalesce(shrunk, 0) shrunk, bn, sn, coalesce(present, false) present, coalesce(valid, false) valid, coalesce(stale_links, 0) stale_links, coalesce(missing_pages, 0) missing_pages
+  FROM sites s LEFT JOIN rb USING (site_id) LEFT JOIN ac USING (site_id) LEFT JOIN bs USING (site_id) LEFT JOIN xf USING (site_id)),
+ch AS (SELECT site_id, 1 AS check_no, 'bot-access' id, 25 weight, CASE WHEN blocked = 0 THEN 'pass' ELSE 'fail' END status, CASE WHEN blocked = 0 THEN 'no crawler is blocked' ELSE 'blocked: ' || bn END detail FROM al
+  UNION ALL SELECT site_id, 2, 'bot-parity', 10, CASE WHEN shrunk = 0 THEN 'pass' ELSE 'warn' END, CASE WHEN shrunk = 0 THEN 'crawlers get the whole page' ELSE 'smaller page for: ' || sn END FROM al
+  UNION ALL SELECT site_id, 3, 'robots', 5, CASE WHEN coalesce(robots_body, '') <> '' THEN 'pass' ELSE 'warn' END, 'robots file' FROM al
+  UNION ALL SELECT site_id, 4, 'sitemap', 15, CASE WHEN sitemap_urls >= pages THEN 'pass' WHEN sitemap_urls > 0 THEN 'warn' ELSE 'fail' END, sitemap_urls || ' of ' || pages || ' pages listed' FROM al
+  UNION ALL SELECT site_id, 5, 'descriptions', 20, CASE WHEN CAST(described AS DOUBLE) / greatest(pages, 1) >= 0.9 THEN 'pass' WHEN CAST(described AS DOUBLE) / greatest(pages, 1) >= 0.6 THEN 'warn' ELSE 'fail' END, described || ' of ' || pages || ' pages described' FROM al
+  UNION ALL SELECT site_id, 6, 'thin-content', 15, CASE WHEN 1 - CAST(thin AS DOUBLE) / greatest(pages, 1) >= 0.9 THEN 'pass' WHEN 1 - CAST(thin AS DOUBLE) / greatest(pages, 1) >= 0.6 THEN 'warn' ELSE 'fail' END, thin || ' of ' || pages || ' pages thin' FROM al
+  UNION ALL SELECT site_id, 7, 'duplicates', 5, CASE WHEN duplicates = 0 THEN 'pass' ELSE 'warn' END, duplicates || ' pages repeat others' FROM al
+  UNION ALL SELECT site_id, 8, 'llms-txt', 5, CASE WHEN present AND valid AND stale_links = 0 AND missing_pages = 0 THEN 'pass' ELSE 'warn' END, CASE WHEN NOT present THEN 'no file' WHEN NOT valid THEN 'file not valid' ELSE stale_links || ' stale, ' || missing_pages || ' missing' END FROM al
+  UNION ALL SELECT site_id, 9, 'markdown', 5, CASE WHEN markdown > 0 THEN 'pass' ELSE 'warn' END, markdown || ' Markdown versions' FROM al)
+"""
+)
+SQL |= {
+    "sitemap_entries": _WITH_PAGES + "," + _MAPS + "SELECT site_id, sitemap, kind, CAST(pos AS BIGINT) pos, url, lastmod, priority FROM sm",
+    "sitemap_pages": _WITH_PAGES + "," + _MAPS + "SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY q) AS BIGINT) pos, url FROM (SELECT site_id, url, min(CASE WHEN sitemap LIKE '%one.xml' THEN 0 ELSE 100 END + pos) q FROM sm WHERE kind = 'page' AND url NOT LIKE '%.png' AND url NOT LIKE '%.txt' AND url NOT LIKE 'https://other.%' GROUP BY ALL)",
+    "audit_existing": _WITH_PAGES + "," + _EXISTING.replace("__VALID__", _valid_sql()) + "SELECT * FROM xf",
+    "audit_checks": _AUDIT + "SELECT * FROM ch",
+    "audit_report": _AUDIT + ", sc AS (SELECT site_id, CAST(floor(sum(weight * CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0 END) / CAST(sum(weight) AS DOUBLE) * 100 + 0.5) AS INTEGER) score FROM ch GROUP BY 1) SELECT site_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END grade FROM sc",
+    "crawl_finished": SQL["crawl_depths"].rsplit(" SELECT site_id, url, min(depth)", 1)[0]
+    + r""", vi AS (SELECT site_id, url, min(depth) AS depth FROM bf GROUP BY ALL),
+  ib AS (SELECT hs.site_id, to_url url, count(*) n FROM hs JOIN vi ON vi.site_id = hs.site_id AND vi.url = hs.from_url GROUP BY ALL),
+  nv AS (SELECT DISTINCT site_id, u url FROM (SELECT pg.site_id, pg.url f, unnest(nav_links) u FROM pg JOIN extracted_pages e ON e.page_id = pg.seq) WHERE regexp_extract(u, '^https?://(?:www\.)?([^/?#:]*)', 1) = regexp_extract(f, '^https?://(?:www\.)?([^/?#:]*)', 1))
+  SELECT vi.site_id, vi.url, depth, coalesce(ib.n, 0) inbound_links, nv.url IS NOT NULL in_nav, depth = 1 AND vi.site_id IN (SELECT site_id FROM sites WHERE monitoring) from_sitemap FROM vi LEFT JOIN ib USING (site_id, url) LEFT JOIN nv USING (site_id, url)""",
+    "crawl_statistics": _WITH_PAGES
+    + r""", ft AS (SELECT pg.site_id, seq, CASE WHEN seq % 23 = 0 THEN entry_url WHEN seq % 29 = 0 THEN 'https://elsewhere.example/' ELSE url END fin, CASE WHEN seq % 19 = 0 THEN 404 ELSE 200 END stt, seq % 31 <> 0 html, seq % 37 = 0 noi, from_sitemap, coalesce(inbound_links, 0) > 0 vl, entry_url FROM pg JOIN en USING (site_id)),
+  oc AS (SELECT *, CASE WHEN stt >= 400 OR NOT html THEN 'failed' WHEN regexp_extract(fin, '^https?://([^/]*)', 1) <> regexp_extract(entry_url, '^https?://([^/]*)', 1) THEN 'skipped' WHEN row_number() OVER (PARTITION BY site_id, fin ORDER BY seq) > 1 OR noi THEN 'skipped' ELSE 'page' END oc FROM ft)
+  SELECT site_id, count(*) FILTER (oc = 'page') fetched, count(*) FILTER (oc = 'failed') failed, count(*) FILTER (oc = 'skipped') skipped, count(*) FILTER (from_sitemap) sitemap_urls, CASE WHEN bool_or(from_sitemap) AND bool_or(vl) THEN 'sitemap+links' WHEN bool_or(from_sitemap) THEN 'sitemap' ELSE 'links' END discovered_via FROM oc GROUP BY 1""",
+}
+
+
+def _evaluation_sql() -> dict[str, str]:
+    """Questions 0, 1 and 2 expect links 0, 1 and 2; the third goes unanswered."""
+    from sitequarry.plans.page_queries import _HEADS, _RENDER, _links_sql
+
+    docs = _links_sql(25, 120) + _HEADS + _RENDER.split(",\nln AS")[0]
+    index = docs + ", ix AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY section_pos, link_pos) - 1 AS id, lt, url, CAST(substr(site_id, 6) AS BIGINT) n FROM dc WHERE url IS NOT NULL), sz AS (SELECT site_id, n FROM ix GROUP BY ALL HAVING count(*) >= 3)"
+    picked = ", pk AS (SELECT site_id, n, 0 AS position, 0 AS want, n % 2 AS got FROM sz UNION ALL SELECT site_id, n, 1, 1, n % 3 FROM sz)"
+    return {
+        "eval_accuracy": index + " SELECT site_id, CAST(floor((CAST(n % 2 = 0 AS INT) + CAST(n % 3 = 1 AS INT)) / 3.0 * 100 + 0.5) AS INTEGER) accuracy, 3 questions FROM sz",
+        "eval_ambiguous": index + picked + " SELECT pk.site_id, pk.position AS position, ix.url, (SELECT arg_min(lt, id) FROM ix z WHERE z.site_id = ix.site_id AND z.url = ix.url) chosen_title FROM pk JOIN ix ON ix.site_id = pk.site_id AND ix.id = pk.got WHERE want <> got",
+    }
+
+
+SQL |= _evaluation_sql()
