@@ -93,6 +93,12 @@ def validate_documents(spark: SparkSession, root: str) -> DataFrame:
     return validate.issues(validate.lines(files, "doc_id", "text"), files, "doc_id", "text")
 
 
+def index_links(spark: SparkSession, root: str) -> DataFrame:
+    """Links of all stored index files under their sections."""
+    files = _snapshots(spark, root).select("snapshot_id", "llms_txt")
+    return validate.sections(validate.lines(files, "snapshot_id", "llms_txt"), "snapshot_id")
+
+
 def latest_snapshot_streamed(spark: SparkSession, root: str) -> DataFrame:
     return latest_snapshot_stream(spark, root).withColumn("pages", F.col("pages").cast("long"))
 
@@ -142,7 +148,7 @@ def _with_text_times(query: Callable[[SparkSession, str], DataFrame], columns: l
 QUERIES = {
     "snapshot_hashes": snapshot_hashes, "latest_snapshot": latest_snapshot, "top_snapshots": top_snapshots, "diff_text": diff_text, "rebuilt_snapshots": rebuilt_snapshots, "upsert_sites": upsert_sites,
     "checked_sites": checked_sites, "delete_cascade": delete_cascade, "due_sites": due_sites, "site_status": site_status, "retained_jobs": retained_jobs, "job_progress": job_progress,
-    "validate_snapshots": validate_snapshots, "validate_documents": validate_documents, "latest_snapshot_streamed": latest_snapshot_streamed, "crawl_rate_streamed": crawl_rate_streamed,
+    "validate_snapshots": validate_snapshots, "validate_documents": validate_documents, "index_links": index_links, "latest_snapshot_streamed": latest_snapshot_streamed, "crawl_rate_streamed": crawl_rate_streamed,
 }
 _LATEST = _S + "SELECT site_id, snapshot_id, created_at, len(pages) pages FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, snapshot_id DESC) r FROM s) WHERE r = 1"
 _SPLIT = "list_distinct(list_filter(list_transform(string_split(coalesce(__T__, ''), E'\\n'), lambda x: " + _TRIM.replace("{}", "x") + "), lambda x: x <> ''))"
@@ -175,6 +181,10 @@ SQL = {
   SELECT f.snapshot_id, coalesce(errors, 0) = 0 valid, coalesce(errors, 0) errors, coalesce(warnings, 0) warnings, title, CASE WHEN title IS NOT NULL THEN nullif(summary, '') END summary, coalesce(sections, 0) sections, coalesce(links, 0) links
   FROM f LEFT JOIN k USING (snapshot_id) LEFT JOIN m USING (snapshot_id) WHERE llms_txt IS NOT NULL""",
     "validate_documents": _LINES("SELECT doc_id, text FROM documents", "doc_id", "text") + "SELECT * FROM i",
+    "index_links": _LINES(_S + "SELECT snapshot_id, llms_txt FROM s", "snapshot_id", "llms_txt")
+    + r""", a AS (SELECT *, count(*) FILTER (role = 'section') OVER w section_no, max(CASE WHEN role = 'section' THEN no END) OVER w at FROM u WHERE role IN ('section', 'link') WINDOW w AS (PARTITION BY snapshot_id ORDER BY no))
+  SELECT a.snapshot_id, a.section_no, trim(substr(h.line, 4)) AS section, row_number() OVER (PARTITION BY a.snapshot_id, a.section_no ORDER BY a.no) link_no, trim(regexp_extract(a.line, '^-\s+\[([^\]]+)\]', 1)) title, a.url,
+  nullif(trim(regexp_extract(a.line, '^-\s+\[[^\]]+\]\([^)\s]+\)\s*(?::\s*(.*))?$', 1)), '') notes FROM a JOIN u h ON h.snapshot_id = a.snapshot_id AND h.no = a.at WHERE a.role = 'link'""",
     "latest_snapshot_streamed": _LATEST,
     "crawl_rate_streamed": "SELECT time_bucket(INTERVAL 1 day, crawled_at) window_start, count(*) pages FROM crawled_pages WHERE crawled_at IS NOT NULL GROUP BY ALL",
 }

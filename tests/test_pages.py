@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from sitequarry.operators.document import documents, render
 from sitequarry.operators.pages import classify, highlights, rank, scored
 from sitequarry.operators.sections import sections
-from sitequarry.operators.validate import issues, lines, verdicts
+from sitequarry.operators.validate import issues, lines, sections as file_sections, verdicts
 
 SCHEMA = "site_id string, seq long, url string, path string, kind string, title string, description string, depth int, inbound_links int, in_nav boolean, from_sitemap boolean, word_count int, markdown_url string, text string"
 
@@ -87,3 +87,11 @@ def test_validation(spark):
     assert bad == sorted([("error", 5, "List item must look like `- [title](url)"), ("warning", 6, "Free text inside a section is ignored by parsers"), ("warning", 7, "Duplicate link"), ("warning", 8, "Link should be absolute"), ("warning", 9, "Headings deeper than H2 are not part of the format"), ("warning", 10, "The blockquote summary should directly follow the title"), ("error", 11, "Only one H1 title is allowed")])
     assert check(spark, "") == [("error", 0, "Missing required H1 title"), ("warning", 0, "No blockquote summary; agents rely on it for context"), ("warning", 0, "No link sections found")]
     assert check(spark, None) == []
+
+
+def test_parsed_documents(spark):
+    files = spark.createDataFrame([(1, GOOD + "## More\n\n- [C](/c)\n- [A again](https://a.com/a)\n"), (2, None)], "id int, t string")
+    got = [(r.section_no, r.section, r.link_no, r.title, r.url, r.notes) for r in file_sections(lines(files, "id", "t"), "id").orderBy("section_no", "link_no").collect()]
+    assert got == [(1, "Docs", 1, "A", "https://a.com/a", "note"), (1, "Docs", 2, "B", "/b", None), (2, "More", 1, "C", "/c", None), (2, "More", 2, "A again", "https://a.com/a", None)]
+    row = verdicts(files, "id", "t").first()
+    assert (row.valid, row.errors, row.warnings, row.title, row.summary, row.sections, row.links) == (True, 0, 1, "Acme", "Sum", 2, 4)
