@@ -182,9 +182,9 @@ SQL = {
   FROM f LEFT JOIN k USING (snapshot_id) LEFT JOIN m USING (snapshot_id) WHERE llms_txt IS NOT NULL""",
     "validate_documents": _LINES("SELECT doc_id, text FROM documents", "doc_id", "text") + "SELECT * FROM i",
     "index_links": _LINES(_S + "SELECT snapshot_id, llms_txt FROM s", "snapshot_id", "llms_txt")
-    + r""", a AS (SELECT *, count(*) FILTER (role = 'section') OVER w section_no, max(CASE WHEN role = 'section' THEN no END) OVER w at FROM u WHERE role IN ('section', 'link') WINDOW w AS (PARTITION BY snapshot_id ORDER BY no))
+    + r""", a AS (SELECT *, count(*) FILTER (role = 'section') OVER w section_no, max(CASE WHEN role = 'section' THEN no END) OVER w AS sec_no FROM u WHERE role IN ('section', 'link') WINDOW w AS (PARTITION BY snapshot_id ORDER BY no))
   SELECT a.snapshot_id, a.section_no, trim(substr(h.line, 4)) AS section, row_number() OVER (PARTITION BY a.snapshot_id, a.section_no ORDER BY a.no) link_no, trim(regexp_extract(a.line, '^-\s+\[([^\]]+)\]', 1)) title, a.url,
-  nullif(trim(regexp_extract(a.line, '^-\s+\[[^\]]+\]\([^)\s]+\)\s*(?::\s*(.*))?$', 1)), '') notes FROM a JOIN u h ON h.snapshot_id = a.snapshot_id AND h.no = a.at WHERE a.role = 'link'""",
+  nullif(trim(regexp_extract(a.line, '^-\s+\[[^\]]+\]\([^)\s]+\)\s*(?::\s*(.*))?$', 1)), '') notes FROM a JOIN u h ON h.snapshot_id = a.snapshot_id AND h.no = a.sec_no WHERE a.role = 'link'""",
     "latest_snapshot_streamed": _LATEST,
     "crawl_rate_streamed": "SELECT time_bucket(INTERVAL 1 day, crawled_at) window_start, count(*) pages FROM crawled_pages WHERE crawled_at IS NOT NULL GROUP BY ALL",
 }
