@@ -130,6 +130,10 @@ def resolve_url(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize(u, b) if u and u.strip() else None for u, b in zip(url, base, strict=True)], dtype=object)
 
 
+# Deterministic as they are, they are declared not to be: else a filter on their result is pushed below it and runs them twice.
+normalize_url, resolve_url = normalize_url.asNondeterministic(), resolve_url.asNondeterministic()
+
+
 def host(url: Column) -> Column:
     """Host of a normalised URL, without a leading ``www.``."""
     return F.regexp_extract(url, r"^https?://(?:www\.)?([^/?#:]*)", 1)

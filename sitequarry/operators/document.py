@@ -24,7 +24,10 @@ def profiles(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """(site_id, base_url, name, summary): one row a site of ``entries`` (site_id, entry_url, site_name).
 
     The entry page is the one of that URL, else the site's first (smallest ``seq``); sites without pages have an empty summary.
+    Where the description is empty the summary is made of ``lead``, the beginning of the text, or of ``text`` itself.
     """
+    body = "lead" if "lead" in pages.columns else "text"
+    pages = pages.withColumn("text", F.col(body)) if body in pages.columns else pages.withColumn("text", F.lit(None).cast("string"))
     first = pages.join(entries.select("site_id", "entry_url"), "site_id")
     chosen = first.groupBy("site_id").agg(F.min_by(F.struct("title", "description", "text"), F.struct(F.col("url") != F.col("entry_url"), "seq")).alias("p"))
     rows = entries.join(chosen, "site_id", "left")

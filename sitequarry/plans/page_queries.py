@@ -10,49 +10,49 @@ from sitequarry.functions.text import first_sentences, hash_content, word_count
 from sitequarry.operators import document, validate
 from sitequarry.operators.pages import highlights, rank, scored
 from sitequarry.operators.sections import sections
-from sitequarry.plans.views import PAGES_SQL, SCORE_SQL, entries, label_sql, pages
+from sitequarry.plans.views import LINKED, PAGES_SQL, RANKED, SCORE_SQL, entries, label_sql, pages
 from sitequarry.sources.tables import table
 
 
 def url_normalize(spark: SparkSession, root: str) -> DataFrame:
-    return pages(spark, root).select("seq", "site_id", "url")
+    return pages(spark, root, []).select("seq", "site_id", "url")
 
 
 def url_parts(spark: SparkSession, root: str) -> DataFrame:
     u = F.col("url")
-    return pages(spark, root).select("seq", urls.host(u).alias("host"), urls.path(u).alias("path"), F.size(urls.segments(u)).cast("long").alias("n_segments"), urls.base_path(u).alias("base_path"), urls.is_likely_page(u).alias("likely"), urls.title_from_path(u).alias("path_title"))
+    return pages(spark, root, []).select("seq", urls.host(u).alias("host"), urls.path(u).alias("path"), F.size(urls.segments(u)).cast("long").alias("n_segments"), urls.base_path(u).alias("base_path"), urls.is_likely_page(u).alias("likely"), urls.title_from_path(u).alias("path_title"))
 
 
 def same_site(spark: SparkSession, root: str) -> DataFrame:
     """Pages by site that lie on the site's host, and in its entry's directory."""
-    both = pages(spark, root).select("site_id", "url").join(entries(spark, root), "site_id")
+    both = pages(spark, root, []).select("site_id", "url").join(entries(spark, root), "site_id")
     here, inside = urls.is_same_site(F.col("url"), F.col("entry_url")), urls.in_scope(F.col("url"), F.col("entry_url"), F.lit(True))
     return both.groupBy("site_id").agg(F.count("*").alias("pages"), F.count_if(here).alias("same_site"), F.count_if(inside).alias("in_scope"))
 
 
 def resolve_links(spark: SparkSession, root: str) -> DataFrame:
     """Targets of relative references and of Link headers, on the pages' own urls."""
-    base = pages(spark, root).select("seq", "url")
+    base = pages(spark, root, []).select("seq", "url")
     header = F.concat(F.lit('<https://cdn.example/a.css>; rel=preload, <../md/'), F.col("seq").cast("string"), F.lit('.md?utm_a=1>; rel="alternate"; type="text/markdown"'))
     rows = base.select("seq", "url", F.lit("../up/./x/?b=2&a=1#f").alias("reference"), urls.markdown_from_header(header).alias("target"))
     return rows.select("seq", urls.resolve_url("reference", "url").alias("resolved"), urls.resolve_url("target", "url").alias("markdown"))
 
 
 def classify_pages(spark: SparkSession, root: str) -> DataFrame:
-    return pages(spark, root).select("seq", "path", "kind")
+    return pages(spark, root, []).select("seq", "path", "kind")
 
 
 def score_pages(spark: SparkSession, root: str) -> DataFrame:
-    return scored(pages(spark, root)).select("seq", F.round("score", 6).alias("score"))
+    return scored(pages(spark, root, RANKED)).select("seq", F.round("score", 6).alias("score"))
 
 
 def rank_pages(spark: SparkSession, root: str) -> DataFrame:
     """The 50 best pages of each site: a top-k report."""
-    return rank(pages(spark, root).drop("text"), 50).select("site_id", "seq", "url", "kind", F.round("score", 6).alias("score"), "rank")
+    return rank(pages(spark, root, RANKED), 50).select("site_id", "seq", "url", "kind", F.round("score", 6).alias("score"), "rank")
 
 
 def top_highlights(spark: SparkSession, root: str) -> DataFrame:
-    return highlights(pages(spark, root).drop("text"), 5).select("site_id", "seq", "rank")
+    return highlights(pages(spark, root, RANKED), 5).select("site_id", "seq", "rank")
 
 
 def site_sections(spark: SparkSession, root: str) -> DataFrame:
@@ -65,16 +65,16 @@ def section_budget(spark: SparkSession, root: str) -> DataFrame:
 
 
 def site_profiles(spark: SparkSession, root: str) -> DataFrame:
-    return document.profiles(pages(spark, root), entries(spark, root))
+    return document.profiles(pages(spark, root, [*LINKED, "lead"]), entries(spark, root))
 
 
 def render_index(spark: SparkSession, root: str) -> DataFrame:
-    return document.render(document.documents(pages(spark, root), entries(spark, root)))
+    return document.render(document.documents(pages(spark, root, [*LINKED, "lead"]), entries(spark, root)))
 
 
 def render_full(spark: SparkSession, root: str) -> DataFrame:
     """Parts of the full files: the index and every page's text."""
-    return document.render_full(render_index(spark, root), pages(spark, root))
+    return document.render_full(render_index(spark, root), pages(spark, root, ["title", "text"]))
 
 
 def validate_rendered(spark: SparkSession, root: str) -> DataFrame:

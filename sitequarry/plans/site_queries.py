@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions.html import extract_pages
 from sitequarry.functions.urls import host
 from sitequarry.operators import audit, crawl, document, history, plan, robots, sitemap, validate
-from sitequarry.plans.views import PAGES_SQL, entries, pages
+from sitequarry.plans.views import LINKED, PAGES_SQL, entries, pages
 from sitequarry.sources.tables import materialize, table
 
 _NUMBER = "CAST(substring(site_id, 6) AS BIGINT)"
@@ -46,7 +46,7 @@ def _tokens(spark: SparkSession) -> DataFrame:
 
 def robots_access(spark: SparkSession, root: str) -> DataFrame:
     """Pages an agent may not fetch."""
-    found = robots.access(pages(spark, root).select("site_id", "url"), robots.directives(robots_bodies(spark, root)), _tokens(spark))
+    found = robots.access(pages(spark, root, []).select("site_id", "url"), robots.directives(robots_bodies(spark, root)), _tokens(spark))
     return found.where("NOT allowed").select("site_id", "url", "agent")
 
 
@@ -76,7 +76,7 @@ def sitemap_pages(spark: SparkSession, root: str) -> DataFrame:
 def html_pages(spark: SparkSession, root: str) -> DataFrame:
     """(page_id, url, html): documents made of the pages' own fields, with head, navigation, main part and footer."""
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    rows = pages(spark, root)
+    rows = pages(spark, root, ["title", "description", "text"])
     html = F.concat(
         F.lit('<!doctype html><html lang="en-GB"><head><title>'), safe(F.col("title")), F.lit(" | Site</title>"), F.when(F.col("description") != "", F.concat(F.lit('<meta name="description" content="'), F.replace(safe(F.col("description")), F.lit('"'), F.lit("&quot;")), F.lit('">'))).otherwise(""),
         F.when(F.col("seq") % 17 == 0, '<meta name="robots" content="NOINDEX">').otherwise(""), F.lit('<link rel="canonical" href="./?utm_source=x"><script>var a = "</p>";</script></head><body><nav><a href="/docs/">Docs</a> <a href="#top">Top</a> <a href="mailto:a@b.c">Mail</a></nav><main><h1>'),
@@ -95,14 +95,14 @@ def html_fields(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, root: str) -> DataFrame:
-    own = pages(spark, root).select(F.col("seq").alias("page_id"), "site_id", "url")
+    own = pages(spark, root, []).select(F.col("seq").alias("page_id"), "site_id", "url")
     listed = table(spark, root, "extracted_pages").select("page_id", "links", "nav_links")
     return own.join(listed, "page_id")
 
 
 def crawl_pages(spark: SparkSession, root: str) -> DataFrame:
     """Pages that a crawl of each site reaches along its links, in its order."""
-    known = materialize(pages(spark, root).select("site_id", "url"))
+    known = materialize(pages(spark, root, []).select("site_id", "url"))
     none = known.select("site_id", "url", F.lit(0).alias("pos")).where("false")
     return crawl.crawl(entries(spark, root), none, known, materialize(crawl.edges(_links(spark, root))))
 
@@ -136,14 +136,14 @@ def audit_bots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def audit_counts(spark: SparkSession, root: str) -> DataFrame:
-    return audit.page_counts(pages(spark, root))
+    return audit.page_counts(pages(spark, root, ["description", "word_count", "markdown_url", "content_hash"]))
 
 
 def audit_existing(spark: SparkSession, root: str) -> DataFrame:
     """Each site's newest index file against its pages."""
     snapshots = history.latest_deliveries(table(spark, root, "snapshots")).where("pages IS NOT NULL").select("site_id", "snapshot_id", "created_at", "llms_txt")
     files = materialize(history.latest_snapshots(snapshots, ["llms_txt"]).select("site_id", F.col("llms_txt").alias("body")))
-    return audit.existing_files(files, validate.verdicts(files, "site_id", "body"), pages(spark, root).select("site_id", "url"))
+    return audit.existing_files(files, validate.verdicts(files, "site_id", "body"), pages(spark, root, []).select("site_id", "url"))
 
 
 def audit_checks(spark: SparkSession, root: str) -> DataFrame:
@@ -156,13 +156,13 @@ def audit_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, root: str) -> DataFrame:
-    return materialize(document.documents(pages(spark, root), entries(spark, root)))
+    return materialize(document.documents(pages(spark, root, [*LINKED, "lead"]), entries(spark, root)))
 
 
 def plan_apply(spark: SparkSession, root: str) -> DataFrame:
     """Indexes after model plans with repeated, missing and out-of-range ids; every fourth site has a broken plan."""
     docs = _documents(spark, root)
-    links = materialize(plan.candidates(docs, pages(spark, root)))
+    links = materialize(plan.candidates(docs, pages(spark, root, ["markdown_url"])))
     n = _number()
     raw = F.when(n % 4 == 3, '{"sections": [').otherwise(F.concat(F.lit('{"title": " Planned ", "sections": [{"name": "Start", "items": [{"id": 2, "title": "Second"}, {"id": "1"}, {"id": 2}, {"id": 999}]}, {"name": " ", "items": [{"id": 0}]}, {"name": "optional", "items": [{"id": '), (n % 3 + 3).cast("string"), F.lit(', "notes": "kept"}]}, {"name": "Rest", "items": [{"title": "Null id"}]}]}')))
     outputs = table(spark, root, "sites").select("site_id", raw.alias("raw_json"))
@@ -172,7 +172,7 @@ def plan_apply(spark: SparkSession, root: str) -> DataFrame:
 
 def _evaluation(spark: SparkSession, root: str) -> DataFrame:
     docs = _documents(spark, root).where("url IS NOT NULL")
-    index = materialize(plan.candidates(docs, pages(spark, root)).select("site_id", "id", "link_title", "url"))
+    index = materialize(plan.candidates(docs, pages(spark, root, ["markdown_url"])).select("site_id", "id", "link_title", "url"))
     sizes = index.groupBy("site_id").agg(F.count("*").alias("links")).where("links >= 3")
     n = _number()
     asked = F.lit('{"questions": [{"id": 0, "question": "a"}, {"id": 1, "question": " b "}, {"id": 1, "question": "again"}, {"id": 7.5, "question": "x"}, {"id": "2", "question": "c"}, {"id": -1, "question": "y"}]}')
@@ -191,7 +191,7 @@ def eval_ambiguous(spark: SparkSession, root: str) -> DataFrame:
 
 def crawl_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Outcomes of fetches made of the crawled pages, and their statistics."""
-    rows = pages(spark, root).join(entries(spark, root).select("site_id", "entry_url"), "site_id")
+    rows = pages(spark, root, ["from_sitemap", "inbound_links"]).join(entries(spark, root).select("site_id", "entry_url"), "site_id")
     fetches = rows.select(
         "site_id", "seq", "entry_url", F.col("url").alias("requested_url"), F.when(F.col("seq") % 23 == 0, F.col("entry_url")).when(F.col("seq") % 29 == 0, "https://elsewhere.example/").otherwise(F.col("url")).alias("final_url"),
         F.when(F.col("seq") % 19 == 0, 404).otherwise(200).alias("status"), F.when(F.col("seq") % 31 == 0, "application/json").otherwise("text/html; charset=utf-8").alias("content_type"), F.lit(False).alias("scope_to_path"), (F.col("seq") % 37 == 0).alias("noindex"),

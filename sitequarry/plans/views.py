@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitequarry.functions.text import normalize_whitespace
 from sitequarry.functions.urls import ensure_url, normalize_url, path
 from sitequarry.operators.pages import classify
 from sitequarry.sources.tables import table
 
-PAGE_COLUMNS = ["title", "description", "depth", "from_sitemap", "inbound_links", "in_nav", "word_count", "markdown_url", "content_hash", "text"]
+#: Columns that ranking and grouping need, and those that documents need besides.
+RANKED = ["depth", "from_sitemap", "inbound_links", "in_nav", "word_count", "markdown_url", "description"]
+LINKED = [*RANKED, "title"]
+#: Characters of a text that can matter to a summary.
+LEAD = 600
 
 
-def pages(spark: SparkSession, root: str) -> DataFrame:
-    """Crawled pages in the stored form: normalised url, path and kind, one row a (site_id, url); ``seq`` is the page_id."""
-    raw = table(spark, root, "crawled_pages").where("page_id IS NOT NULL AND url IS NOT NULL")
-    once = raw.groupBy("page_id").agg(F.max_by(F.struct("site_id", "url", *PAGE_COLUMNS), "loaded_at").alias("r")).select(F.col("page_id").alias("seq"), "r.*")
+def pages(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
+    """Crawled pages in the stored form: normalised url, path, kind and ``columns``, one row a (site_id, url); ``seq`` is the page_id.
+
+    Only the columns asked for are read and shuffled. ``lead`` is the beginning of the text with its white space
+    normalised, cut at the scan: summaries need no more, and whole texts then never travel.
+    """
+    columns = LINKED if columns is None else columns
+    own = [F.substring(normalize_whitespace(F.col("text")), 1, LEAD).alias("lead") if c == "lead" else F.col(c) for c in columns]
+    raw = table(spark, root, "crawled_pages").where("page_id IS NOT NULL AND url IS NOT NULL").select("page_id", "loaded_at", "site_id", "url", *own)
+    once = raw.groupBy("page_id").agg(F.max_by(F.struct("site_id", "url", *columns), "loaded_at").alias("r")).select(F.col("page_id").alias("seq"), "r.*")
     normal = once.withColumn("url", normalize_url(ensure_url(F.col("url")))).where("url IS NOT NULL")
-    first = normal.groupBy("site_id", "url").agg(F.min_by(F.struct("seq", *PAGE_COLUMNS), "seq").alias("r")).select("site_id", "url", "r.*")
+    first = normal.groupBy("site_id", "url").agg(F.min_by(F.struct("seq", *columns), "seq").alias("r")).select("site_id", "url", "r.*")
     return first.withColumns({"path": path(F.col("url")), "kind": classify(F.col("url"))})
 
 
