@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions.urls import label, segments, title_from_path
 from sitequarry.operators.pages import scored
+from sitequarry.sources.tables import materialize
 
 #: Sections of the kinds, in their order.
 SECTIONS = {
@@ -49,7 +50,8 @@ def sections(pages: DataFrame, entries: DataFrame, per_section: int = PER_SECTIO
     No window sees a whole site: first each bucket is cut to the rows that can still matter (per section, file and
     Optional together), which each task does before the shuffle.
     """
-    rows = link_candidates(pages, entries)
+    # written once: sizes, ranks and both ends of the budget read it
+    rows = materialize(link_candidates(pages, entries))
     reach = 2 * per_section + per_file
     fixed = list(SECTIONS.values())
     sizes = rows.groupBy("site_id", "bucket").agg(F.count("*").alias("bucket_n"))

@@ -11,7 +11,7 @@ from sitequarry.operators import document, validate
 from sitequarry.operators.pages import highlights, rank, scored
 from sitequarry.operators.sections import sections
 from sitequarry.plans.views import LINKED, PAGES_SQL, RANKED, SCORE_SQL, entries, label_sql, pages
-from sitequarry.sources.tables import table
+from sitequarry.sources.tables import materialize, table
 
 
 def url_normalize(spark: SparkSession, root: str) -> DataFrame:
@@ -69,7 +69,8 @@ def site_profiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def render_index(spark: SparkSession, root: str) -> DataFrame:
-    return document.render(document.documents(pages(spark, root, [*LINKED, "lead"]), entries(spark, root)))
+    rows = materialize(pages(spark, root, [*LINKED, "lead"]))
+    return document.render(document.documents(rows, entries(spark, root)))
 
 
 def render_full(spark: SparkSession, root: str) -> DataFrame:
