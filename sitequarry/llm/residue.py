@@ -340,7 +340,7 @@ def residue_spans(pages: DataFrame) -> DataFrame:
     alone = F.col("before").isin("^") & (F.col("after") == "$")
 
     def quoting(side: str) -> DataFrame:
-        seen = marks.where(~alone).groupBy(side, "type").agg(F.approx_count_distinct("line", 0.02).alias("n"))
+        seen = marks.where(~alone).groupBy(side, "type").agg(F.count_distinct("line").alias("n"))
         whole = seen.groupBy(side).agg(F.sum("n").alias("all"))
         pure = seen.join(whole, side).where((F.col("n") >= LEAST_QUOTES) & (F.col("n") >= LEAST_PURITY * F.col("all")))
         return pure.select(side, "type", F.lit(True).alias(f"quoted_{side}"))
