@@ -26,4 +26,12 @@ def p5_class_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p5_class_pairs": p5_class_pairs}
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": r"""
+WITH d AS (SELECT page_id, any_value(title) title, any_value(text) text FROM crawled_pages GROUP BY page_id),
+w AS (SELECT page_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || text), '[\pL\pN]+') w FROM d WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[\pL\pN]+')) >= 40),
+s AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s FROM w),
+n AS (SELECT page_id, count(*) n FROM s GROUP BY page_id),
+p AS (SELECT a.page_id a, b.page_id b, count(*) c FROM s a JOIN s b ON a.s = b.s AND a.page_id < b.page_id GROUP BY ALL)
+SELECT a page_id_a, b page_id_b FROM p JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE c >= 0.6 * (x.n + y.n - c)""",
+}
