@@ -9,6 +9,8 @@ from sitequarry.functions.urls import path_and_query
 
 #: Milliseconds that a crawl delay is cut to.
 MOST_DELAY = 2000
+#: Agents asked for at once, at most.
+MOST_AGENTS = 1000
 
 
 def directives(bodies: DataFrame, key: str = "site_id") -> DataFrame:
@@ -67,10 +69,11 @@ def access(urls: DataFrame, lines: DataFrame, agents: DataFrame, key: str = "sit
     a residual condition, and a site's rules are as few as its file is long.
     """
     named = lines.where("field = 'user-agent'").select(key, F.lower("value").alias("agent")).distinct()
-    tokens = agents.select(F.lower(F.trim(F.substring_index("token", "/", 1))).alias("token")).distinct()
+    # crawlers are a fixed, short list
+    tokens = [r[0] for r in agents.select(F.lower(F.trim(F.substring_index("token", "/", 1))).alias("token")).where("token IS NOT NULL").distinct().limit(MOST_AGENTS).collect()]
+    each = F.explode(F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>"))
     has = named.groupBy(key).agg(F.collect_set("agent").alias("names"))
-    # agents are a fixed list of tokens
-    asked = urls.select(key, "url").distinct().join(F.broadcast(tokens)).join(has, key, "left")
+    asked = urls.select(key, "url").distinct().select(key, "url", each.alias("token")).join(has, key, "left")
     asked = asked.withColumn("agent", F.when(F.array_contains("names", F.col("token")), F.col("token")).when(F.array_contains("names", F.lit("*")), "*")).drop("names")
     own = rules(lines, key).select(key, "agent", "allow", pattern_regex(F.col("pattern")).alias("regex"), F.length(F.regexp_replace("pattern", r"\*", "")).alias("length"))
     tried = asked.withColumn("path", path_and_query(F.col("url"))).join(own, [key, "agent"], "left")
