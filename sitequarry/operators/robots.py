@@ -70,7 +70,9 @@ def access(urls: DataFrame, lines: DataFrame, agents: DataFrame, key: str = "sit
     """
     named = lines.where("field = 'user-agent'").select(key, F.lower("value").alias("agent")).distinct()
     # crawlers are a fixed, short list
-    tokens = [r[0] for r in agents.select(F.lower(F.trim(F.substring_index("token", "/", 1))).alias("token")).where("token IS NOT NULL").distinct().limit(MOST_AGENTS).collect()]
+    tokens = [r[0] for r in agents.select(F.lower(F.trim(F.substring_index("token", "/", 1))).alias("token")).where("token IS NOT NULL").distinct().limit(MOST_AGENTS + 1).collect()]
+    if len(tokens) > MOST_AGENTS:
+        raise ValueError(f"more than {MOST_AGENTS} agents: ask for them in parts")
     each = F.explode(F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>"))
     has = named.groupBy(key).agg(F.collect_set("agent").alias("names"))
     asked = urls.select(key, "url").distinct().select(key, "url", each.alias("token")).join(has, key, "left")
