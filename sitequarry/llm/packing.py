@@ -13,6 +13,8 @@ from sitequarry.sources.tables import materialize
 
 #: Pieces a block, on average: a block is packed by one task call, whatever the size of the collection.
 BLOCK = 8192
+#: Kinds of containers packed at once, at most.
+MOST_KINDS = 1000
 #: Search nodes a block beyond the first descent, and fillings tried at a node.
 EXTRA_NODES, BRANCHES = 400, 3
 
@@ -25,7 +27,9 @@ def pieces(documents: DataFrame, containers: DataFrame) -> DataFrame:
     each document meets each kind by definition.
     """
     sizes = documents.select("doc_id", document_tokens(F.col("n_tokens"), F.col("text")).alias("size")).where("size > 0 AND doc_id IS NOT NULL")
-    kinds = [(r[0], int(r[1])) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(1000).collect()]
+    kinds = [(r[0], int(r[1])) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers: pack them in parts")
     if not kinds:
         return sizes.where("false").select(F.lit("").alias("container_kind"), F.lit(0).alias("capacity"), "doc_id", F.lit(0).alias("piece_no"), F.col("size").alias("tokens"))
     every = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds]))
