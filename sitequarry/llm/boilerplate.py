@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.rows import one_per_page
 from sitequarry.llm.residue import FILLER, NOTICES, PLACEHOLDER, TABLE_BITS, _codes, _grams
+from sitequarry.operators.skew import attach
+from sitequarry.sources.tables import materialize
 
-#: Pages that the line model is fitted on, at most: those of sites chosen by hash..
+#: Pages that the n-gram ratios are fitted on, at most: chosen by a hash of page_id. What recurs is counted over all pages.
 SAMPLE_PAGES = 20_000
-#: A line is furniture of a site when so many differently titled pages of the sample have it, and this share of them.
+#: A line is furniture of a site when so many differently titled pages of the site have it, and this share of them.
 LEAST_REPEATS, LEAST_SHARE = 3, 0.03
+#: Letters of a caption's key, at most.
+CAPTION_CHARS = 60
 #: Lines of a sliding block; a block is content when the lengths in it, weighted by the model, reach LEAST_BLOCK.
 BLOCK_LINES, LEAST_BLOCK = 3, 24.0
 #: Mean log-likelihood ratio from which a line is furniture: captions, other lines, lines that end a sentence, items and code.
@@ -50,7 +53,7 @@ _IN_PLACE = frozenset(line_key(x.replace("{}", "")) for x in (FILLER + "\n" + NO
 
 
 class LineModel:
-    """Ratios by n-gram, and captions: keys of furniture lines that are mostly followed by a title-like line."""
+    """Ratios by n-gram, and captions of a page: keys of furniture lines that are mostly followed by a title-like line."""
 
     def __init__(self, table: np.ndarray, captions: frozenset[str]) -> None:
         self.table, self.captions = table, captions
@@ -73,46 +76,33 @@ def _rates(lines: list[str], weights: list[float] | None = None) -> np.ndarray:
     return counts / max(1.0, counts.sum())
 
 
-def fit(pages: list[tuple[str, str, str]]) -> LineModel:
-    """The model from sample pages (site, title, text).
+def fit(pages: list[tuple[int, str, str, list[int], list[int]]]) -> LineModel:
+    """The ratios from sample pages (site, title, text, places of recurring lines, places of lines of one title only).
 
     Furniture: lines that recur in differently titled pages of a site. Content: long lines that end a sentence, items and
     code that don't recur, the pages' own titles, and examples of filler and error text, which stand in place of content.
     """
-    by_site: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
-    for site, title, text in pages:
-        by_site[site].append((title or "", [" ".join(x.split()) for x in text.split("\n") if x.strip()]))
-    furniture: dict[str, str] = {}
+    furniture: dict[tuple[int, str], str] = {}
     content: dict[str, str] = {}
-    after: dict[str, Counter] = defaultdict(Counter)
-    for site, rows in by_site.items():
-        where: dict[str, set[str]] = defaultdict(set)
-        for title, lines in rows:
-            for line in lines:
-                where[line_key(line)].add(title)
-        least = max(LEAST_REPEATS, LEAST_SHARE * len({t for t, _ in rows}))
-        for title, lines in rows:
-            own = line_key(title)
-            for at, line in enumerate(lines):
-                key = line_key(line)
-                if not key or key == own:
-                    continue
-                if len(where[key]) >= least:
-                    furniture.setdefault(site + key, line)
-                    if len(key) <= 60:
-                        following = lines[at + 1] if at + 1 < len(lines) else ""
-                        after[key]["title" if _title_like(following) and line_key(following) != own and len(where[line_key(following)]) < least else "other"] += 1
-                elif len(where[key]) == 1 and (len(line) >= 50 and _ends(line) or _ITEM.match(line) or _CODE.match(line)):
-                    content.setdefault(key, line)
-            if own:
-                content.setdefault("t" + own, title)
+    for site, title, text, recurring, single in pages:
+        lines = [" ".join(x.split()) for x in strip_markup(text).split("\n")]
+        own = line_key(title or "")
+        for at in recurring:
+            key = line_key(lines[at])
+            if key != own:
+                furniture.setdefault((site, key), lines[at])
+        for at in single:
+            line, key = lines[at], line_key(lines[at])
+            if key != own and (len(line) >= 50 and _ends(line) or _ITEM.match(line) or _CODE.match(line)):
+                content.setdefault(key, line)
+        if own:
+            content.setdefault("t" + own, title)
     examples = [x for line in (FILLER + "\n" + NOTICES).split("\n") for x in (line, line.replace("{}", ""))]
     body = list(content.values())
     floor = 4e-6
     bad = _rates(list(furniture.values())) + floor
     good = 0.9 * _rates(body) + 0.1 * _rates(examples) + floor
-    captions = frozenset(k for k, c in after.items() if sum(c.values()) >= LEAST_REPEATS and c["title"] >= 0.5 * sum(c.values()))
-    return LineModel(np.clip(np.log(bad / good), -3, 3).astype(np.float32), captions)
+    return LineModel(np.clip(np.log(bad / good), -3, 3).astype(np.float32), frozenset())
 
 
 def line_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -219,16 +209,97 @@ def body_lines(title: str, lines: list[str], scores: list[float], model: LineMod
     return keep
 
 
-def sample(crawled: DataFrame, most: int = SAMPLE_PAGES) -> list[tuple[str, str, str]]:
-    """Up to ``most`` pages (site, title, text) of sites chosen by hash, whole sites where they fit."""
-    rows = crawled.where("text IS NOT NULL AND text != ''").select("site_id", "title", "text", "page_id")
-    sizes = rows.groupBy("site_id").agg(F.count("*").alias("n"))
-    total, sites = sizes.agg(F.sum("n"), F.count("*")).first()
-    if not total:
-        return []
-    share = min(1.0, most / total)
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(5), "site_id"), F.lit(1_000_000)) < int(min(1.0, share * 1.3) * 1_000_000) + 1)
-    return [tuple(r) for r in picked.select("site_id", "title", "text").limit(most).collect()]
+_KEYED = "page_id long, site long, title_no long, text_no long, at array<int>, keys array<string>, able array<boolean>, heads array<boolean>"
+
+
+def _keyer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's lines that aren't blank: place, key, whether it may be a caption, and whether the next one is like a title."""
+    for batch in batches:
+        titles, texts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        places, keys, able, heads = [], [], [], []
+        for title, text in zip(titles, texts, strict=True):
+            own = line_key(title or "")
+            lines = [(at, " ".join(x.split())) for at, x in enumerate(strip_markup(text).split("\n")) if x.strip()]
+            of = [line_key(x) for _, x in lines]
+            places.append([at for at, _ in lines])
+            keys.append(of)
+            able.append([0 < len(k) <= CAPTION_CHARS and k != own for k in of])
+            heads.append([k != own and _title_like(x) for (_, x), k in zip(lines[1:], of[1:], strict=True)] + [False] * bool(lines))
+        lists = [pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.string())), pa.array(able, pa.list_(pa.bool_())), pa.array(heads, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *lists], [c.split()[0] for c in _KEYED.split(", ")])
+
+
+def keyed_lines(pages: DataFrame, site: Column) -> DataFrame:
+    """(page_id, site, title_no, text_no, at, able, heads, hashes), one row a text: its lines as hashes of their keys, null for empty keys."""
+    rows = pages.where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    title = F.coalesce("title", F.lit(""))
+    rows = rows.select("page_id", site.alias("site"), F.xxhash64(title).alias("title_no"), F.xxhash64("text").alias("text_no"), "title", "text").mapInArrow(_keyer, _KEYED)
+    return rows.withColumn("hashes", F.transform("keys", lambda k: F.when(k != "", F.xxhash64(k)))).drop("keys")
+
+
+def line_counts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, hash, titles) and (site, least, pages): in how many differently titled pages of a site a line is, and from how many on it recurs."""
+    each = lines.select("site", "title_no", F.explode("hashes").alias("hash")).where("hash IS NOT NULL")
+    counts = each.groupBy("site", "hash").agg(F.count_distinct("title_no").alias("titles"))
+    least = F.greatest(F.lit(LEAST_REPEATS), LEAST_SHARE * F.count_distinct("title_no"))
+    return materialize(counts), materialize(lines.groupBy("site").agg(least.alias("least"), F.count("*").alias("pages")))
+
+
+def captions(lines: DataFrame, counts: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """(hash, n) of every caption: a line that recurs in its site, LEAST_REPEATS times or more in all, and is mostly followed by a title-like line that doesn't.
+
+    As a recurring line is in LEAST_SHARE of a site's titles, a site's array has at most (lines a page) / LEAST_SHARE of them.
+    """
+    often = attach(counts.where(F.col("titles") >= LEAST_REPEATS), sizes, ["site"], "pages", total).where("titles >= least")
+    sites = materialize(often.groupBy("site").agg(F.max("pages").alias("pages"), F.collect_list("hash").alias("recurring")))
+    marked = attach(lines, sites, ["site"], "pages", total)
+    recurs = lambda h: F.coalesce(F.array_contains("recurring", h), F.lit(False))
+    following = F.concat(F.slice("hashes", 2, F.size("hashes")), F.array(F.lit(None).cast("long")))
+    each = F.arrays_zip(F.col("hashes").alias("hash"), F.col("able").alias("able"), F.col("heads").alias("heads"), following.alias("next"))
+    found = F.transform(F.filter(each, lambda x: x["able"] & recurs(x["hash"])), lambda x: F.struct(x["hash"].alias("hash"), (x["heads"] & ~recurs(x["next"])).cast("int").alias("title")))
+    seen = marked.select(F.explode(found).alias("x")).groupBy("x.hash").agg(F.count("*").alias("n"), F.sum("x.title").alias("title"))
+    return seen.where((F.col("n") >= LEAST_REPEATS) & (F.col("title") >= 0.5 * F.col("n"))).select("hash", "n")
+
+
+def sample(crawled: DataFrame, lines: DataFrame, counts: DataFrame, sizes: DataFrame, total: int, most: int = SAMPLE_PAGES) -> list[tuple[int, str, str, list[int], list[int]]]:
+    """Up to ``most`` pages (site, title, text, places of recurring lines, places of lines of one title only): those with the least hashes of page_id."""
+    rank = F.xxhash64(F.lit(5), "page_id")
+    chosen = F.pmod(rank, F.lit(1_000_000))
+    share = int(min(1.0, 1.3 * most / max(1, total)) * 1_000_000) + 1
+    each = lines.where(chosen < share).select("page_id", "text_no", "site", F.explode(F.arrays_zip("at", F.col("hashes").alias("hash"))).alias("x")).select("page_id", "text_no", "site", "x.*")
+    known = each.join(counts, ["site", "hash"]).join(sizes, "site")
+    places = lambda which: F.collect_set(F.when(which, F.col("at")))
+    known = known.groupBy("page_id", "text_no").agg(places(F.col("titles") >= F.col("least")).alias("recurring"), places(F.col("titles") == 1).alias("single"))
+    rows = crawled.where(chosen < share).where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    rows = rows.select("page_id", F.xxhash64("site_id").alias("site"), "title", "text", F.xxhash64("text").alias("text_no")).join(known, ["page_id", "text_no"])
+    return [tuple(r) for r in rows.orderBy(chosen, rank, "text_no").limit(most).select("site", "title", "text", "recurring", "single").collect()]
+
+
+def learnt(crawled: DataFrame, extracted: DataFrame) -> tuple[LineModel, DataFrame]:
+    """The model, and (page_id, text_no, captions): the places of the captions in each text that has any, counted from 0.
+
+    What recurs in a site, and what is a caption, is counted over all crawled pages; only the n-gram ratios come from a sample.
+    """
+    lines = materialize(keyed_lines(crawled, F.xxhash64("site_id")))
+    total = lines.count()
+    counts, sizes = line_counts(lines)
+    model = fit(sample(crawled, lines, counts, sizes, total))
+    known = materialize(captions(lines, counts, sizes, total))
+    both = lines.drop("site").unionByName(materialize(keyed_lines(extracted, F.lit(0).cast("long"))).drop("site"))
+    able = F.filter(F.arrays_zip("at", F.col("hashes").alias("hash"), "able"), lambda x: x["able"])
+    each = both.select("page_id", "text_no", F.explode(able).alias("x")).select("page_id", "text_no", "x.at", "x.hash")
+    found = attach(each, known, ["hash"], "n", each.count())
+    return model, found.groupBy("page_id", "text_no").agg(F.collect_set("at").alias("captions"))
+
+
+def _of_page(model: LineModel, lines: list[str], places: list[int] | None) -> LineModel:
+    return LineModel(model.table, frozenset(line_key(lines[at]) for at in places or ()))
+
+
+def _judged(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(record_set, page_id, title, text, captions) of the rows that have a text."""
+    rows = rows.where("page_id IS NOT NULL AND text IS NOT NULL").withColumn("text_no", F.xxhash64("text"))
+    return rows.join(places, ["page_id", "text_no"], "left").select("record_set", "page_id", "title", "text", "captions")
 
 
 _OUT = "record_set string, page_id long, line_no long"
@@ -237,7 +308,7 @@ _OUT = "record_set string, page_id long, line_no long"
 def _marker(model: LineModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, ids, titles, texts = (batch.column(k).to_pylist() for k in range(4))
+            sets, ids, titles, texts, places = (batch.column(k).to_pylist() for k in range(5))
             at = 0
             while at < len(ids):
                 to, chars = at, 0
@@ -248,9 +319,9 @@ def _marker(model: LineModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 stripped = [strip_markup(t) for t in texts[at:to]]
                 scores = line_scores(stripped, model.table).tolist()
                 done = 0
-                for record_set, i, title, text in zip(sets[at:to], ids[at:to], titles[at:to], stripped, strict=True):
+                for record_set, i, title, text, known in zip(sets[at:to], ids[at:to], titles[at:to], stripped, places[at:to], strict=True):
                     lines = text.split("\n")
-                    keep = body_lines(title, lines, scores[done : done + len(lines)], model)
+                    keep = body_lines(title, lines, scores[done : done + len(lines)], _of_page(model, lines, known))
                     done += len(lines)
                     out += [(record_set, i, k) for k, (good, line) in enumerate(zip(keep, lines, strict=True), 1) if not good and line.strip()]
                 columns = list(zip(*out, strict=True)) if out else [(), (), ()]
@@ -268,12 +339,12 @@ def strip_markup(text: str) -> str:
 def boilerplate_lines(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
     """(record_set, page_id, line_no) of every non-empty line of a page's text that isn't body.
 
-    One pass over each table without a shuffle; the model comes from a bounded sample. Null and empty texts have
-    no lines. A page_id delivered twice gives the same rows twice.
+    Lines are counted as hashes; then each text meets the places of its captions and is judged. Null and empty texts
+    have no lines. A page_id delivered twice gives the same rows twice.
     """
-    model = fit(sample(crawled))
+    model, places = learnt(crawled, extracted)
     rows = crawled.select(F.lit("crawled").alias("record_set"), "page_id", "title", "text").unionByName(extracted.select(F.lit("extracted").alias("record_set"), "page_id", "title", "text"))
-    return rows.where("page_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_marker(model), _OUT)
+    return _judged(rows, places).mapInArrow(_marker(model), _OUT)
 
 
 def body_text(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -281,19 +352,19 @@ def body_text(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
 
     The same pass as :func:`boilerplate_lines`; what is kept is joined again within the task.
     """
-    model = fit(sample(crawled))
+    model, places = learnt(crawled, extracted)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, ids, titles, texts = (batch.column(k).to_pylist() for k in range(4))
+            sets, ids, titles, texts, known = (batch.column(k).to_pylist() for k in range(5))
             bodies = []
-            for title, text in zip(titles, texts, strict=True):
+            for title, text, at in zip(titles, texts, known, strict=True):
                 clean = strip_markup(text)
                 lines = clean.split("\n")
-                keep = body_lines(title, lines, line_scores([clean], model.table).tolist(), model)
+                keep = body_lines(title, lines, line_scores([clean], model.table).tolist(), _of_page(model, lines, at))
                 bodies.append("\n".join(x for x, good in zip(lines, keep, strict=True) if good).strip("\n"))
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], ["record_set", "page_id", "body"])
 
     once = one_per_page(crawled.select("page_id", "title", "text", "loaded_at"), ["title", "text"])
     rows = once.select(F.lit("crawled").alias("record_set"), "page_id", "title", "text").unionByName(extracted.select(F.lit("extracted").alias("record_set"), "page_id", "title", "text"))
-    return rows.where("page_id IS NOT NULL AND text IS NOT NULL").mapInArrow(join, "record_set string, page_id long, body string")
+    return _judged(rows, places).mapInArrow(join, "record_set string, page_id long, body string")

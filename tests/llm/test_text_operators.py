@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sitequarry.llm import boilerplate
 from sitequarry.llm.boilerplate import body_lines, body_text, boilerplate_lines, fit, line_scores, strip_markup
 from sitequarry.llm.encoding import garbled, restored, undo
 from sitequarry.llm.repeats import chi2_tail, repeated_lines, without_repeats
@@ -207,6 +208,19 @@ def test_main_content(spark):
     assert boilerplate_lines(none, none).count() == 0
 
 
+def test_captions_outside_the_sample_are_known(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate.sample, "__defaults__", (40,))
+    rng = random.Random(8)
+    table = []
+    for s, (site, caption) in enumerate({"Acme": "Related articles", "Brio": "Keep reading here", "Cove": "More from the archive", "Dune": "You might also like", "Elan": "Pages next to this one"}.items()):
+        rows, _ = site_pages(rng, site, 80)
+        table += [page(100 * s + i, text.replace("Related articles", caption), site, title) for i, (title, text) in enumerate(rows)]
+    extracted = frame(spark, table).select("page_id", "title", "text")
+    got = {tuple(r) for r in boilerplate_lines(frame(spark, table), extracted).collect()}
+    want = {(record_set, r[0], k) for record_set in ("crawled", "extracted") for r in table for k in (10, 11, 12)}
+    assert table[0][4].split("\n")[9] == "Related articles" and len(want & got) >= 0.97 * len(want)
+
+
 def test_line_scores_follow_lines():
     model = fit([])
     texts = ["a\nbb\n\nlonger line here", "", "x", "\n"]
