@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.llm.characters import ORDER, TABLE_BITS, codes_of, line_means, slots
+from sitequarry.llm.residue import FILLER, NOTICES
 from sitequarry.llm.rows import one_per_page
-from sitequarry.llm.residue import FILLER, NOTICES, PLACEHOLDER, TABLE_BITS, _codes, _grams
 from sitequarry.operators.skew import attach
 from sitequarry.sources.tables import materialize
 
@@ -21,21 +22,23 @@ SAMPLE_PAGES = 20_000
 LEAST_REPEATS, LEAST_SHARE = 3, 0.03
 #: Letters of a caption's key, at most.
 CAPTION_CHARS = 60
-#: Lines of a sliding block; a block is content when the lengths in it, weighted by the model, reach LEAST_BLOCK.
-BLOCK_LINES, LEAST_BLOCK = 3, 24.0
-#: Mean log-likelihood ratio from which a line is furniture: captions, other lines, lines that end a sentence, items and code.
+#: Characters of a sampled text that the ratios are fitted on, at most, so that the sample is bounded in bytes.
+MOST_CHARS = 20_000
+#: Lines of a sliding block. Text surges where a block's weighted length reaches SURGE, or half of the page's greatest block where
+#: that is less (a page may hold nothing but a short notice), and dives where it falls below that.
+BLOCK_LINES, SURGE = 3, 24.0
+#: Weight of a character in a title-like line: it is a heading or a link, which the text around it tells.
+TITLE_WEIGHT = 0.25
+#: Mean log-likelihood ratio from which a line carries no text: captions, other lines, lines that end a sentence, items and code.
 CAPTION_RATIO, FURNITURE_RATIO, SENTENCE_RATIO, ITEM_RATIO = 0.15, 0.3, 0.5, 0.6
 
-_STATUS = re.compile(r"[45]\d\d [A-Z][a-z]")
 _SPACES = re.compile(" {2,}")
 _END = set(".!?…;:。！？")
 _CLOSERS = "\"'”’»)]*_` "
 _MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|</?(?:p|div|span|a|b|i|em|strong|ul|ol|li|h[1-6]|nav|header|footer|aside|section|article|main|br|img|table|tr|td|th)\b[^<>\n]*>", re.IGNORECASE | re.DOTALL)
 _ITEM = re.compile(r"\s*(?:[-•*+▪◦–]|\d{1,3}[.)])\s+\S")
 _CODE = re.compile(r"\s*(?:```|~~~|\$ \S|>>> |GET /|POST /|PUT /|DELETE /|/\w[\w/.-]*$|[\w.-]+ ?[:=] ?[\[({\"'\d]|[\w.]+\([^()]*\)$|\||#{1,6} )")
-#: Arrows to the pages before and after, and bullets, as they are and as wrongly read.
-_ARROW = re.compile(r"[←→]|â†|â\x86[\x90\x92]|ΓåÉ|ΓåÆ|‚Üê|‚Üí|Ã¢â€ |в†")
-_BULLET = re.compile(r"\s*(?:â€¢|â€˘|â\x80¢|ΓÇó|‚Ä¢|Ã¢â‚¬Â¢|вЂў|тАв)\s*\S")
+_ARROW = re.compile("[\u2190-\u2199\u21d0-\u21d9]")
 _CRUMBS = re.compile(r"\s+[/>»›|]\s+")
 _MARKS = re.compile(r"[|›»>/·•→←]|[—–]| - ")
 
@@ -49,35 +52,24 @@ def _ends(line: str) -> bool:
     return line.rstrip(_CLOSERS)[-1:] in _END
 
 
-_IN_PLACE = frozenset(line_key(x.replace("{}", "")) for x in (FILLER + "\n" + NOTICES).split("\n"))
-
-
-class LineModel:
-    """Ratios by n-gram, and captions of a page: keys of furniture lines that are mostly followed by a title-like line."""
-
-    def __init__(self, table: np.ndarray, captions: frozenset[str]) -> None:
-        self.table, self.captions = table, captions
-
-
 def _title_like(line: str) -> bool:
     return not _ends(line) and not _ITEM.match(line) and not _CODE.match(line) and 6 <= len(line) <= 160
 
 
-def _rates(lines: list[str], weights: list[float] | None = None) -> np.ndarray:
+def _rates(lines: list[str]) -> np.ndarray:
     """Share of each n-gram, each line bordered by line breaks."""
-    counts = np.zeros(1 << TABLE_BITS)
+    counts = np.zeros(1 << TABLE_BITS, np.float32)
     for at in range(0, len(lines), 5000):
-        part = ["\n" + " ".join(x.split()) for x in lines[at : at + 5000]]
-        codes, lengths = _codes(part)
-        grams = _grams(codes)
+        codes, lengths = codes_of(["\n" + " ".join(x.split()) for x in lines[at : at + 5000]])
+        grams = slots(codes)
         stop = np.repeat(np.cumsum(lengths), lengths)[: len(grams)]
-        inside = np.arange(len(grams)) + 5 <= stop
+        inside = np.arange(len(grams)) + ORDER <= stop
         counts += np.bincount(grams[inside], minlength=len(counts))
     return counts / max(1.0, counts.sum())
 
 
-def fit(pages: list[tuple[int, str, str, list[int], list[int]]]) -> LineModel:
-    """The ratios from sample pages (site, title, text, places of recurring lines, places of lines of one title only).
+def fit(pages: list[tuple[int, str, str, list[int], list[int]]]) -> np.ndarray:
+    """Table of log ratios by n-gram, from sample pages (site, title, text, places of recurring lines, places of lines of one title only).
 
     Furniture: lines that recur in differently titled pages of a site. Content: long lines that end a sentence, items and
     code that don't recur, the pages' own titles, and examples of filler and error text, which stand in place of content.
@@ -87,11 +79,11 @@ def fit(pages: list[tuple[int, str, str, list[int], list[int]]]) -> LineModel:
     for site, title, text, recurring, single in pages:
         lines = [" ".join(x.split()) for x in strip_markup(text).split("\n")]
         own = line_key(title or "")
-        for at in recurring:
+        for at in (x for x in recurring if x < len(lines)):
             key = line_key(lines[at])
             if key != own:
                 furniture.setdefault((site, key), lines[at])
-        for at in single:
+        for at in (x for x in single if x < len(lines)):
             line, key = lines[at], line_key(lines[at])
             if key != own and (len(line) >= 50 and _ends(line) or _ITEM.match(line) or _CODE.match(line)):
                 content.setdefault(key, line)
@@ -102,110 +94,105 @@ def fit(pages: list[tuple[int, str, str, list[int], list[int]]]) -> LineModel:
     floor = 4e-6
     bad = _rates(list(furniture.values())) + floor
     good = 0.9 * _rates(body) + 0.1 * _rates(examples) + floor
-    return LineModel(np.clip(np.log(bad / good), -3, 3).astype(np.float32), frozenset())
+    return np.clip(np.log(bad / good), -3, 3).astype(np.float16)
 
 
 def line_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Mean ratio of each line of all texts, in order; 0 for lines without an n-gram."""
-    codes, _ = _codes(["\n" + (_SPACES.sub(" ", t) if "  " in t else t) for t in texts])
-    grams = _grams(codes)
-    if not len(grams):
-        return np.zeros(int((codes == 10).sum()) - len(texts))
-    breaks = np.flatnonzero(codes == 10)
-    total = np.r_[0.0, np.cumsum(table[grams], dtype=np.float64)]
-    # a line's grams start at the break before it and end at the break after it
-    first, last = np.minimum(breaks[:-1], len(grams)), np.minimum(breaks[1:] - 3, len(grams))
-    number = np.maximum(last - first, 0)
-    mean = np.where(number > 0, (total[np.maximum(last, first)] - total[first]) / np.maximum(number, 1), 0.0)
-    # between two texts there is an empty line that belongs to neither
-    sizes = np.array([t.count("\n") + 2 for t in texts])
-    drop = np.cumsum(sizes) - 1
-    keep = np.ones(len(mean), bool)
-    keep[drop[drop < len(mean)]] = False
-    return mean[keep]
-
-
-def body_lines(title: str, lines: list[str], scores: list[float], model: LineModel) -> list[bool]:
-    """Whether each line of a page is body; empty lines are.
+    return line_means([_SPACES.sub(" ", t) if "  " in t else t for t in texts], table)
+
+
+def line_weights(title: str, lines: list[str], scores: list[float], captions: set[int]) -> tuple[list[float], list[bool], int]:
+    """(weighted length of each line, whether it is title-like, place of the page's own title or -1).
 
-    Each line gets a kind: own title, furniture, paragraph, item or code, or title-like. Lengths of the lines that
-    aren't furniture are summed over sliding blocks; the text between a surge and the next dive is content. Title-like
-    lines within are headings if content follows; lists of titles next to a caption, or at the end, are furniture.
+    A line that the model holds for furniture has weight 0: by its score (the limit depends on its form), a trail or
+    page title with other things around the title, a link with an arrow. So have title-like lines next to a caption:
+    they are its list. Other title-like lines weigh TITLE_WEIGHT a character, all else its length.
     """
-    keep = [True] * len(lines)
-    at = [i for i, x in enumerate(lines) if x.strip()]
-    if not at:
-        return keep
+    weights, light, own_at = [0.0] * len(lines), [False] * len(lines), -1
     own = line_key(title or "")
-    kinds: list[str] = []
-    seen_own = False
-    others = {line_key(lines[i]) for i in at if len(lines[i]) < 160} - {""}
-    for i in at:
-        line = " ".join(lines[i].split())
-        key, score = line_key(line), scores[i]
+    captioned = False
+    heads: set[str] | None = None
+    for i, raw in enumerate(lines):
+        line = raw.strip()
+        if not line:
+            continue
+        score = scores[i]
+        marked = bool(own) and len(line) + 12 >= len(own)
+        key = line_key(line) if marked and (len(line) <= len(own) + 24 or _MARKS.search(line)) else None
         if own and key == own:
-            kinds.append("T" if not seen_own else "H")
-            seen_own = True
-        elif PLACEHOLDER.fullmatch(line) or key in _IN_PLACE or _STATUS.match(line):
-            kinds.append("P")  # stands in place of content
-        elif key in model.captions and score > CAPTION_RATIO:
-            kinds.append("K")
-        elif own and len(own) >= 8 and own in key and len(key) > len(own) and _MARKS.search(line) and not _ends(line):
-            kinds.append("C")
-        elif _CRUMBS.search(line) and line_key(_CRUMBS.split(line)[-1]) in others:
-            kinds.append("C")  # a trail that ends in one of the page's headings
-        elif score > (ITEM_RATIO if _ITEM.match(line) or _CODE.match(line) else SENTENCE_RATIO if _ends(line) else FURNITURE_RATIO):
-            kinds.append("C")
-        elif _ITEM.match(line) or _CODE.match(line) or _BULLET.match(line):
-            kinds.append("I")
-        elif _ends(line) or len(line) > 160 or len(line) > 65 and score < -0.5:
-            kinds.append("P")
-        elif _ARROW.search(line):
-            kinds.append("C")
-        else:
-            kinds.append("H")
-    n = len(at)
-    weight = [0.0 if k in "CK" else float(len(lines[i])) * (0.4 if k == "H" else 1.0) for k, i in zip(kinds, at, strict=True)]
-    content = [False] * n
-    for s in range(n):
-        # surge: a block with enough weighted text; it holds until a block without any
-        if sum(weight[s : s + BLOCK_LINES]) >= LEAST_BLOCK:
-            for t in range(s, min(n, s + BLOCK_LINES)):
-                content[t] = True
-    solid = ("P", "I", "T")
-    runs: list[tuple[int, int]] = []
-    s = 0
-    while s < n:
-        if kinds[s] == "H":
-            t = s
-            while t < n and kinds[t] == "H":
-                t += 1
-            runs.append((s, t))
-            s = t
-        else:
-            s += 1
-    heading = [False] * n
-    for s, t in runs:
-        before = kinds[s - 1] if s else ""
-        after = kinds[t] if t < n else ""
-        beyond = next((kinds[k] for k in range(t, n) if kinds[k] not in "CK"), "")
-        if before == "K":  # a caption's list
+            light[i], weights[i], captioned = own_at >= 0, (TITLE_WEIGHT if own_at >= 0 else 1.0) * len(line), False
+            own_at = i if own_at < 0 else own_at
             continue
-        if after == "K" and not (t + 1 < n and kinds[t + 1] == "H"):  # the caption stands below its list
+        if i in captions and score > CAPTION_RATIO:
+            captioned = True
             continue
-        if beyond in solid or before in solid and after == "":
-            for k in range(s, t):
-                heading[k] = True
-    # a page without any content has its text in title-like lines
-    bare = not any(k in solid for k in kinds) and "K" not in kinds
-    for k, i in enumerate(at):
-        kind = kinds[k]
-        if kind in "CK":
-            keep[i] = False
-        elif kind == "H":
-            keep[i] = heading[k] and content[k] or bare
-        elif kind == "P" or kind == "I":
-            keep[i] = content[k] or len(lines[i]) >= LEAST_BLOCK or n <= BLOCK_LINES or bool(PLACEHOLDER.search(lines[i])) or kind == "I"
+        if key and len(own) >= 8 and own in key and _MARKS.search(line) and not _ends(line) or _ARROW.match(line) and not _ends(line):
+            continue
+        item, ends = bool(_ITEM.match(line) or _CODE.match(line)), _ends(line)
+        if score > (ITEM_RATIO if item else SENTENCE_RATIO if ends else FURNITURE_RATIO):
+            captioned = False
+            continue
+        if item or ends or len(line) > 160 or len(line) > 65 and score < -0.5:
+            weights[i], captioned = float(len(line)), False
+        elif not captioned:
+            if _CRUMBS.search(line):
+                heads = {line_key(x) for x in lines if len(x) < 160} - {""} if heads is None else heads
+                if line_key(_CRUMBS.split(line)[-1]) in heads:
+                    continue  # a trail that ends in one of the page's headings
+            light[i], weights[i] = True, TITLE_WEIGHT * len(line)
+    return weights, light, own_at
+
+
+def regions(weights: list[float], light: list[bool], own_at: int = -1) -> list[tuple[int, int]]:
+    """(first, last) line of each piece of text between a surge and the dive after it.
+
+    The blocks slide over the lines that aren't blank (weight above 0, or furniture). A surge is the first block that
+    reaches the limit, its text starts at the block's first line with weight, or at the page's own title if only
+    title-like lines are before it. The dive is after the last full line of the last such block: title-like lines that
+    no text follows are outside.
+    """
+    n = len(weights)
+    sums = np.convolve(np.asarray(weights), np.ones(BLOCK_LINES))[BLOCK_LINES - 1 :] if n else np.zeros(0)
+    limit = min(SURGE, float(sums.max()) / 2) if n else 0.0
+    found: list[tuple[int, int, bool]] = []
+    if limit <= 0:
+        return []
+    k = 0
+    while k < n:
+        if sums[k] < limit:
+            k += 1
+            continue
+        end = k
+        while end + 1 < n and sums[end + 1] >= limit:
+            end += 1
+        first, last = k, min(n, end + BLOCK_LINES) - 1
+        while not weights[first]:
+            first += 1
+        if first < own_at <= last and all(light[i] or not weights[i] for i in range(first, own_at)):
+            first = own_at
+        heavy = [i for i in range(first, last + 1) if weights[i] and not light[i]]
+        found.append((first, heavy[-1] if heavy else last, bool(heavy)))
+        k = end + 1
+    # pieces that are nothing but title-like lines are lists of links, unless the page has nothing else
+    full = any(x[2] for x in found)
+    return [(a, b) for a, b, is_full in found if is_full or not full]
+
+
+def body_lines(title: str, lines: list[str], scores: list[float], captions: set[int] | None = None) -> list[bool]:
+    """Whether each line of a page is body; empty lines are.
+
+    Line-block distribution: lengths, weighted by the line model, are summed over sliding blocks, and the text between
+    a surge and the next dive is kept, but for lines without weight.
+    """
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    place = {i: k for k, i in enumerate(at)}
+    known = {place[i] for i in captions or () if i in place}
+    weights, light, own_at = line_weights(title, [lines[i] for i in at], [scores[i] for i in at], known)
+    keep = [not x.strip() for x in lines]
+    for first, last in regions(weights, light, own_at):
+        for k in range(first, last + 1):
+            keep[at[k]] = weights[k] > 0
     return keep
 
 
@@ -271,29 +258,25 @@ def sample(crawled: DataFrame, lines: DataFrame, counts: DataFrame, sizes: DataF
     places = lambda which: F.collect_set(F.when(which, F.col("at")))
     known = known.groupBy("page_id", "text_no").agg(places(F.col("titles") >= F.col("least")).alias("recurring"), places(F.col("titles") == 1).alias("single"))
     rows = crawled.where(chosen < share).where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
-    rows = rows.select("page_id", F.xxhash64("site_id").alias("site"), "title", "text", F.xxhash64("text").alias("text_no")).join(known, ["page_id", "text_no"])
+    rows = rows.select("page_id", F.xxhash64("site_id").alias("site"), "title", F.left("text", F.lit(MOST_CHARS)).alias("text"), F.xxhash64("text").alias("text_no")).join(known, ["page_id", "text_no"])
     return [tuple(r) for r in rows.orderBy(chosen, rank, "text_no").limit(most).select("site", "title", "text", "recurring", "single").collect()]
 
 
-def learnt(crawled: DataFrame, extracted: DataFrame) -> tuple[LineModel, DataFrame]:
-    """The model, and (page_id, text_no, captions): the places of the captions in each text that has any, counted from 0.
+def learnt(crawled: DataFrame, extracted: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """The n-gram ratios, and (page_id, text_no, captions): the places of the captions in each text that has any, counted from 0.
 
     What recurs in a site, and what is a caption, is counted over all crawled pages; only the n-gram ratios come from a sample.
     """
     lines = materialize(keyed_lines(crawled, F.xxhash64("site_id")))
     total = lines.count()
     counts, sizes = line_counts(lines)
-    model = fit(sample(crawled, lines, counts, sizes, total))
+    table = fit(sample(crawled, lines, counts, sizes, total))
     known = materialize(captions(lines, counts, sizes, total))
     both = lines.drop("site").unionByName(materialize(keyed_lines(extracted, F.lit(0).cast("long"))).drop("site"))
     able = F.filter(F.arrays_zip("at", F.col("hashes").alias("hash"), "able"), lambda x: x["able"])
     each = both.select("page_id", "text_no", F.explode(able).alias("x")).select("page_id", "text_no", "x.at", "x.hash")
     found = attach(each, known, ["hash"], "n", each.count())
-    return model, found.groupBy("page_id", "text_no").agg(F.collect_set("at").alias("captions"))
-
-
-def _of_page(model: LineModel, lines: list[str], places: list[int] | None) -> LineModel:
-    return LineModel(model.table, frozenset(line_key(lines[at]) for at in places or ()))
+    return table, found.groupBy("page_id", "text_no").agg(F.collect_set("at").alias("captions"))
 
 
 def _judged(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -305,7 +288,7 @@ def _judged(rows: DataFrame, places: DataFrame) -> DataFrame:
 _OUT = "record_set string, page_id long, line_no long"
 
 
-def _marker(model: LineModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marker(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, ids, titles, texts, places = (batch.column(k).to_pylist() for k in range(5))
@@ -317,11 +300,11 @@ def _marker(model: LineModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     to += 1
                 out: list[tuple[str, int, int]] = []
                 stripped = [strip_markup(t) for t in texts[at:to]]
-                scores = line_scores(stripped, model.table).tolist()
+                scores = line_scores(stripped, table).tolist()
                 done = 0
                 for record_set, i, title, text, known in zip(sets[at:to], ids[at:to], titles[at:to], stripped, places[at:to], strict=True):
                     lines = text.split("\n")
-                    keep = body_lines(title, lines, scores[done : done + len(lines)], _of_page(model, lines, known))
+                    keep = body_lines(title, lines, scores[done : done + len(lines)], set(known or ()))
                     done += len(lines)
                     out += [(record_set, i, k) for k, (good, line) in enumerate(zip(keep, lines, strict=True), 1) if not good and line.strip()]
                 columns = list(zip(*out, strict=True)) if out else [(), (), ()]
@@ -342,9 +325,9 @@ def boilerplate_lines(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
     Lines are counted as hashes; then each text meets the places of its captions and is judged. Null and empty texts
     have no lines. A page_id delivered twice gives the same rows twice.
     """
-    model, places = learnt(crawled, extracted)
+    table, places = learnt(crawled, extracted)
     rows = crawled.select(F.lit("crawled").alias("record_set"), "page_id", "title", "text").unionByName(extracted.select(F.lit("extracted").alias("record_set"), "page_id", "title", "text"))
-    return _judged(rows, places).mapInArrow(_marker(model), _OUT)
+    return _judged(rows, places).mapInArrow(_marker(table), _OUT)
 
 
 def body_text(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -352,7 +335,7 @@ def body_text(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
 
     The same pass as :func:`boilerplate_lines`; what is kept is joined again within the task.
     """
-    model, places = learnt(crawled, extracted)
+    table, places = learnt(crawled, extracted)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +344,7 @@ def body_text(crawled: DataFrame, extracted: DataFrame) -> DataFrame:
             for title, text, at in zip(titles, texts, known, strict=True):
                 clean = strip_markup(text)
                 lines = clean.split("\n")
-                keep = body_lines(title, lines, line_scores([clean], model.table).tolist(), _of_page(model, lines, at))
+                keep = body_lines(title, lines, line_scores([clean], table).tolist(), set(at or ()))
                 bodies.append("\n".join(x for x, good in zip(lines, keep, strict=True) if good).strip("\n"))
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], ["record_set", "page_id", "body"])
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.llm import boilerplate
-from sitequarry.llm.boilerplate import body_lines, body_text, boilerplate_lines, fit, line_scores, strip_markup
+from sitequarry.llm.boilerplate import body_lines, body_text, boilerplate_lines, fit, line_scores, line_weights, regions, strip_markup
 from sitequarry.llm.encoding import garbled, restored, undo
 from sitequarry.llm.repeats import chi2_tail, repeated_lines, without_repeats
 from sitequarry.llm.residue import PLACEHOLDER, residue_spans, without_residue
@@ -221,9 +221,22 @@ def test_captions_outside_the_sample_are_known(spark, monkeypatch):
     assert table[0][4].split("\n")[9] == "Related articles" and len(want & got) >= 0.97 * len(want)
 
 
+def test_blocks_decide():
+    """Without the block test (each line with weight kept) menus, link lists and stray captions that no model knows come through."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    menu, para = [w.capitalize() for w in words], "A plain paragraph that goes on for a while and then ends properly."
+    lines = [*menu, "My title here", para, "A heading of some length", para, "", "Another paragraph, as long as the first one is.", "Next thing to read", "Thing that was read before", *menu]
+    weights, light, own_at = line_weights("My title here", lines, [0.0] * len(lines), set())
+    kept = [k for a, b in regions(weights, light, own_at) for k in range(a, b + 1) if weights[k] > 0]
+    assert kept == [8, 9, 10, 11, 13] and sum(w > 0 for w in weights) == len(lines) - 1
+    assert body_lines("My title here", lines, [0.0] * len(lines)) == [k in (*kept, 12) for k in range(len(lines))]
+    short = body_lines("x", ["Home page", "404 Not Found.", "Home page"], [1.0, 0.0, 1.0])
+    assert short == [False, True, False] and regions([], []) == [] and regions([0.0], [False]) == []
+
+
 def test_line_scores_follow_lines():
-    model = fit([])
+    table = fit([])
     texts = ["a\nbb\n\nlonger line here", "", "x", "\n"]
-    assert [len(line_scores([t], model.table)) for t in texts] == [4, 1, 1, 2] and len(line_scores(texts, model.table)) == 8
-    assert body_lines("", [""], [0.0], model) == [True] and body_lines(None, [], [], model) == []
+    assert [len(line_scores([t], table)) for t in texts] == [4, 1, 1, 2] and len(line_scores(texts, table)) == 8
+    assert body_lines("", [""], [0.0]) == [True] and body_lines(None, [], []) == []
     assert strip_markup("<div>a</div>\n<!-- x\ny -->b <3") == "a\n\nb <3"
