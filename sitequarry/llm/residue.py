@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,22 +12,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.llm.characters import ORDER, TABLE_BITS, CharacterModel, codes_of, line_means, ratio_table, slots
 from sitequarry.sources.tables import materialize
 
 FIELDS = ("text", "description")
 
-#: Length of the character n-grams, and bits of their hash table.
-ORDER, TABLE_BITS = 5, 18
-#: Values of natural prose that the model is fitted on, at most; chosen by a hash of page_id.
-SAMPLE_VALUES = 6000
+#: Pages that the models are fitted on, at most: with a text of usual length, and with one below SHORT times the median.
+SAMPLE_FULL, SAMPLE_SHORT, SHORT = 3000, 3000, 0.25
+#: A wording beside so large a share of the full pages is furniture; a line of full pages above FOREIGN is no natural text.
+FURNITURE_SHARE, FOREIGN = 0.003, 0.6
+#: A line of full pages is no natural text, either, when it has so large a share of its n-grams from the examples.
+KNOWN = 0.8
+#: Both ends of a sentence in place of a page are a template's when so large a share of the short texts, on two sites at least, have them.
+TEMPLATE_SHARE = 0.01
+#: Characters of a sampled text that the natural model is fitted on, at most, so that the sample is bounded in bytes.
+MOST_CHARS = 20_000
 #: Width of the likelihood-ratio windows; a window above LEAST_RATIO (mean natural logarithm a character) is residue.
-WINDOW, LEAST_RATIO = 14, 0.7
-#: A sentence of which this share lies in residue windows is residue; one that begins with residue counts LEADING times,
-#: as a quotation stands within its sentence, and a notice begins with its message and goes on with a name or number.
-LEAST_COVERAGE, LEADING = 0.42, 1.5
-#: A placeholder is quoted, not left over, where so many distinct sentences have it after (or before) the same words,
-#: and hardly any other placeholder stands there.
-LEAST_QUOTES, LEAST_PURITY = 4, 0.85
+WINDOW, LEAST_RATIO = 14, 0.6
+#: A sentence of which this share lies in residue windows is residue (a quotation covers less of its sentence); a sentence in place of
+#: a page joins the examples from JOIN_COVERAGE on.
+LEAST_COVERAGE, JOIN_COVERAGE = 0.4, 0.6
+#: n-grams that a sentence must have to be judged.
+LEAST_GRAMS = 3
+#: A placeholder is quoted, not left over, where it stands after (or before) the same words in LEAST_QUOTES lines, on LEAST_SITES sites
+#: (all, where there are fewer) and on this share of all sites that have it, and hardly any other placeholder stands there.
+#: A template left unfilled repeats on its own site only.
+LEAST_QUOTES, LEAST_SITES, LEAST_SPREAD, LEAST_PURITY = 4, 3, 0.05, 0.85
 
 #: Filler vocabulary of typesetters.
 LATIN = (
@@ -35,143 +46,68 @@ LATIN = (
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 
-#: Labelled examples of filler, one a line; {} stands for a name.
-FILLER = """asdf asdf qwer asdf
-qwerty qwerty asdf jkl
-xxx xxx xxxx xxx
-test test test test
-text text text text text.
+#: Labelled seed examples of filler, one a line: wordings of common editors and typesetters, few for each language.
+FILLER = """replace this text with your own content.
+click here to edit this text.
+placeholder text
+dummy text
+sample text
+your text goes here
+asdf asdf
+xxxx xxxx xxxx
+test test test
 blah blah blah
-this is placeholder copy.
-placeholder text goes here
-dummy text goes here
-sample text, please replace
-sample text for the {} box.
-sample text for this text box
-replace this paragraph with your own words.
-add your own text here
-click here to edit this text
-your tagline goes here
-your headline here
-todo: write this section
-insert text here
-enter description here
-coming soon!
-content will follow shortly
-hier steht ein blindtext.
-dies ist ein platzhaltertext.
-hier kommt noch text hin
-texte à remplacer plus tard.
-texte d'exemple à compléter
-aquí va el texto de ejemplo.
-texto de relleno por sustituir
-texto provisório a substituir
-aqui vai o texto de exemplo
-tu będzie tekst zastępczy.
-tekst do uzupełnienia później
-здесь будет текст-заглушка.
-текст для замены позже"""
-
-#: Labelled examples of short page furniture, which is natural here, one a line.
-FURNITURE = """in this section
-on this page
-this page
-sign in
-sign in to your account
-log in
-log out
-get started
-skip to content
-cookie settings
-please accept our cookies
-accept all or change your selection
-search this site
-read this article
-was this page helpful?
-the information on this page is provided without warranty.
-customers
-service
-a service by us · accessibility
-ein angebot von uns · barrierefreiheit
-un service de la maison · accessibilité
-un servicio de la casa · accesibilidad
-um serviço da casa · acessibilidade
-serwis · dostępność
-сервис · доступность
-home
-wait for the next release
-try again later this week
-anmelden
-seite teilen
-se connecter
-iniciar sesión
-iniciar sessão
-zaloguj się
-войти"""
-
-#: Labelled examples of error, access, waiting and script notices, one a line; {} stands for a name.
-NOTICES = """404 not found
-403 forbidden
+coming soon
+hier steht später ihr text.
+platzhaltertext
+texte à remplacer.
+texte d'exemple
+texto de ejemplo.
+texto de relleno.
+texto de exemplo.
+tekst zastępczy.
+przykładowy tekst
+текст-заполнитель.
+пример текста"""
+
+#: Labelled seed examples of error, access, waiting and script notices, one a line: reason phrases of the HTTP standard and
+#: usual wordings of servers and frameworks, few for each language.
+NOTICES = """403 forbidden
+404 not found
+429 too many requests
 500 internal server error
-502 bad gateway — upstream server timed out
+502 bad gateway
 503 service unavailable
 504 gateway timeout
-error 404: the page you are looking for could not be found.
-error 500: something went wrong on our side.
-the requested page does not exist or has been moved.
-page not found
-sorry, this page has gone missing. go back to the start page of {}.
-oops! we can't find that page. return to the home page.
-internal error while rendering {} (code 00)
-fatal error: uncaught exception in {} on line 00
-traceback: {}error in {} at line 00
+error 404: the requested page could not be found.
+page not found. go back to the home page.
 this page is under construction.
-this site page is under construction.
-access denied. request id 0000-abc-00.
-you do not have permission to view this page.
-you must sign in to view this content.
-service temporarily unavailable. please retry in 00 minutes.
-we are down for maintenance. please come back later.
-too many requests from your network. wait 000 seconds.
-your session has expired. sign in again to continue.
-robot check: type the characters you see to reach {}.
+access denied. you do not have permission to view this page.
+your session has expired. please sign in again to continue.
 please confirm that you are not a robot.
-checking your connection before continuing to {}…
-checking your browser before accessing {}.
-just a moment…
+checking your browser before accessing the site…
 please wait while the page is loading.
-loading, please wait…
-please enable scripts in your browser to view this site.
-this app works best with javascript enabled.
-you need to turn on javascript to use {}.
-you need to enable javascript to run this app.
-javascript is required to view this page.
-please enable cookies and reload the page.
-seite nicht gefunden. die adresse 00 ist uns unbekannt.
-fehler 404: diese seite gibt es nicht.
+please enable javascript in your browser to view this site.
+this app needs javascript to run.
+fatal error: uncaught exception on line 00
+seite nicht gefunden.
 zugriff verweigert.
-bitte aktivieren sie javascript, um {} zu nutzen.
-der dienst ist vorübergehend nicht erreichbar.
-page introuvable (erreur 404).
+bitte aktivieren sie javascript, um fortzufahren.
+page introuvable.
 accès refusé.
-veuillez activer javascript pour continuer.
-le service est momentanément indisponible.
-no se ha encontrado la página 000.
+veuillez activer javascript.
+página no encontrada.
 acceso denegado.
 active javascript para continuar.
-el servicio no está disponible temporalmente.
-página não encontrada. código 000.
+página não encontrada.
 acesso negado.
 ative o javascript para continuar.
-o serviço está temporariamente indisponível.
-nie znaleziono strony. włącz obsługę skryptów.
+nie znaleziono strony.
 odmowa dostępu.
-włącz obsługę javascript, aby kontynuować.
-usługa jest chwilowo niedostępna.
-страница не найдена, код 000.
+włącz obsługę javascript.
+страница не найдена.
 доступ запрещён.
-включите javascript, чтобы продолжить.
-сервис временно недоступен."""
+включите javascript."""
 
 #: Syntax of unfilled placeholders and of values that were never filled in.
 PLACEHOLDER = re.compile(
@@ -183,53 +119,103 @@ PLACEHOLDER = re.compile(
 )
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes of all texts, lower case, digits as 0, one after the other with a line break after each; and their lengths."""
-    lowered = [t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
-    codes = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    codes[(codes >= 48) & (codes <= 57)] = 48
-    return codes, np.array([len(t) + 1 for t in lowered])
+def _plain(text: str) -> str:
+    """White space as single spaces, digits as 0."""
+    return re.sub(r"\d", "0", " ".join(text.split()))
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram that starts at each place but the last ORDER - 1."""
-    n = len(codes) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(ORDER):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def sentences(text: str) -> list[str]:
+    """Pieces of a text that end at line breaks and at spaces after an end mark."""
+    return [x for x in (_plain(p) for p in re.split(r"\n|(?<=[.!?…]) ", text)) if x]
 
 
-def _rates(texts: list[str]) -> np.ndarray:
-    counts = np.zeros(1 << TABLE_BITS)
-    for at in range(0, len(texts), 500):
-        codes, _ = _codes(texts[at : at + 500])
-        counts += np.bincount(_grams(codes), minlength=len(counts))
-    return counts / max(1.0, counts.sum())
+def wording(text: str) -> str:
+    """Lower case, with names left out: words that begin with a capital, but for the first."""
+    first, *rest = _plain(text).split(" ")
+    return " ".join([first.lower(), *("{}" if w[:1].isupper() and not w.isupper() else w.lower() for w in rest)])
 
 
-def fit(prose: list[str], seed: int = 7) -> np.ndarray:
-    """Table of log-likelihood ratios by n-gram: the greatest of filler phrases, filler Latin and notices, against natural prose."""
+def sentence_ends(key: str) -> list[tuple]:
+    """What marks a wording as a template filled with words: its first and its last two words, with their place and number."""
+    words = key.split(" ")
+    return [("first", len(words), *words[:2]), ("last", len(words), *words[-2:])] if len(words) > 3 else []
+
+
+class Examples:
+    """What the models are fitted on: values that stand for a whole page, and values in place of one.
+
+    ``full``: (text, description) of pages with a text of usual length; ``short``: (site, text) of texts far below it.
+    """
+
+    def __init__(self, full: list[tuple[str | None, str | None]], short: list[tuple[str, str]]) -> None:
+        self.full, self.short = full, short
+
+
+def fit(examples: Examples, filler: str = FILLER, notices: str = NOTICES, seed: int = 7) -> np.ndarray:
+    """Table of log-likelihood ratios by n-gram: the likeliest of filler, filler Latin and notices against natural text.
+
+    The collection's own wordings are learnt from where they stand. Sentences of texts far shorter than usual stand in
+    place of a page. Those whose wording recurs on several sites join the seeds, each with the class that is likelier;
+    so do those that share an end and their length with many others. The rest join when the models so far take them for
+    residue. Natural text is all lines of full
+    pages and their descriptions, so furniture is natural: a wording that at least FURNITURE_SHARE of the pages have
+    beside a full body is never residue. What has joined, and lines above FOREIGN, are left out of the natural model.
+    """
     rng = random.Random(seed)
-    filler = [x for line in FILLER.split("\n") for x in (line.replace("{}", ""), line.replace("{}", "").replace(" ", ""))]
-    latin = [" ".join(rng.choice(LATIN) for _ in range(rng.randint(6, 16))) + "." for _ in range(1500)]
-    notices = [x for line in NOTICES.split("\n") for x in (line.replace("{}", ""), line.replace("{}", "").replace(" ", ""))]
-    floor = 3e-6
-    natural = 0.9 * _rates(prose) + 0.1 * _rates(FURNITURE.split("\n")) + floor
-    ratio = np.max([np.log((_rates(lines) + floor) / natural) for lines in (filler, latin, notices)], axis=0)
-    return np.clip(ratio - 0.25, -1.0, 3.0).astype(np.float32)
+    latin = CharacterModel([" ".join(rng.choice(LATIN) for _ in range(rng.randint(6, 16))) + "." for _ in range(1500)])
+    told = [_plain(x) for page in examples.full for value in page if value for x in value.split("\n") if x.strip()]
+    beside = Counter(wording(x) for x in told)
+    sites: dict[str, set[str]] = {}
+    ends: dict[tuple, set[str]] = {}
+    often: Counter = Counter()
+    pool: dict[str, str] = {}
+    for site, text in examples.short:
+        for x in sentences(text):
+            if len(x) >= ORDER and not PLACEHOLDER.search(x):
+                key = wording(x)
+                sites.setdefault(key, set()).add(site)
+                pool.setdefault(key, x)
+                for end in sentence_ends(key):
+                    ends.setdefault(end, set()).add(site)
+                    often[end] += 1
+    template = {e for e, s in ends.items() if len(s) > 1 and often[e] >= TEMPLATE_SHARE * len(examples.short)}
+    usual = max(3.0, FURNITURE_SHARE * len(examples.full))
+    alone = [w for w in pool if beside[w] < usual]
+    recurs = {w: len(sites[w]) > 1 or any(e in template for e in sentence_ends(w)) for w in alone}
+    recurring, single = [w for w in alone if recurs[w]], [w for w in alone if not recurs[w]]
+    first = (filler.split("\n"), notices.split("\n"))
+    seeds = [CharacterModel(x) for x in first]
+
+    def models(known: list[str]) -> list[CharacterModel]:
+        lines = [pool[w] for w in known]
+        side = line_means(lines, ratio_table([seeds[0]], [seeds[1]])) > 0 if lines else np.zeros(0, bool)
+        return [CharacterModel(list(first[0]) + [x for x, s in zip(lines, side, strict=True) if s]), CharacterModel(list(first[1]) + [x for x, s in zip(lines, side, strict=True) if not s])]
+
+    def without(known: list[str]) -> list[str]:
+        """What is told but for lines that consist of the examples' n-grams."""
+        grams = np.unique(slots(codes_of([pool[w] for w in known] + [x for part in first for x in part])[0]))
+        table = np.zeros(1 << TABLE_BITS, np.float16)
+        table[grams] = 1
+        return [x for x, s in zip(told, line_means(told, table) if told else [], strict=True) if s < KNOWN or beside[wording(x)] >= usual]
+
+    natural = without(recurring)
+    table = ratio_table([*models(recurring), latin], [CharacterModel(natural, 1)])
+    owner, _, _, coverage = sentence_coverage([pool[w] for w in single], table)
+    covered = np.zeros(len(single))
+    np.maximum.at(covered, owner, coverage)
+    known = recurring + [w for w, c in zip(single, covered, strict=True) if c >= JOIN_COVERAGE]
+    natural = without(known)
+    means = line_means(natural, table) if natural else []
+    natural = [x for x, s in zip(natural, means, strict=True) if s < FOREIGN or beside[wording(x)] >= usual]
+    return ratio_table([*models(known), latin], [CharacterModel(natural, 1)])
 
 
 def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, start in text, length, coverage) of each sentence: the share of it that lies in residue windows."""
-    codes, lengths = _codes(texts)
-    grams = _grams(codes)
+    codes, lengths = codes_of(texts)
+    grams = slots(codes)
     if not len(grams):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 4  # no text that is long enough
     score = np.zeros(len(codes))
     score[: len(grams)] = table[grams]
     # sentences end at line breaks and at spaces after an end mark
@@ -252,10 +238,7 @@ def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray,
         mean = (total[high] - total[low]) / (number[high] - number[low])
     hit = inside & (mean > LEAST_RATIO)
     hits, valid = np.bincount(of, hit, len(first)), np.bincount(of, inside, len(first))
-    coverage = np.where(valid >= 6, hits / np.maximum(valid, 1), 0.0)
-    run = np.r_[0, np.cumsum(hit)]
-    lead = np.minimum(8, np.maximum(valid, 1)).astype(np.int64)
-    coverage = np.where((run[np.minimum(first + lead, len(codes))] - run[first]) >= lead, np.minimum(1.0, coverage * LEADING), coverage)
+    coverage = np.where(valid >= LEAST_GRAMS, hits / np.maximum(valid, 1), 0.0)
     text_start = np.r_[0, np.cumsum(lengths)]
     owner = np.searchsorted(text_start, first, side="right") - 1
     return owner, first - text_start[owner], size, coverage
@@ -270,7 +253,7 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
     return " ".join((["^"] + before)[-2:]), " ".join((after + ["$"])[:2]), " ".join(before) + "|" + " ".join(after)
 
 
-_SPANS = "page_id long, field string, kind string, type string, before string, after string, line long, start int, length int"
+_SPANS = "page_id long, site long, field string, kind string, type string, before string, after string, line long, start int, length int"
 
 
 def _finder(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -280,8 +263,8 @@ def _finder(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             # small steps: a step's arrays are a few hundred bytes a character of its texts
             at = 0
-            ids = batch.column(0).to_pylist()
-            values = {f: batch.column(k + 1).to_pylist() for k, f in enumerate(FIELDS)}
+            ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            values = {f: batch.column(k + 2).to_pylist() for k, f in enumerate(FIELDS)}
             while at < len(ids):
                 to, chars = at, 0
                 while to < len(ids) and (to == at or chars < 300_000):
@@ -290,7 +273,7 @@ def _finder(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 yield step(ids[at:to], {f: v[at:to] for f, v in values.items()})
                 at = to
 
-    def step(ids: list[int], values: dict[str, list]) -> pa.RecordBatch:
+    def step(ids: list[tuple[int, int]], values: dict[str, list]) -> pa.RecordBatch:
         out: list[tuple] = []
         for field, texts in values.items():
             known = [(i, t) for i, t in zip(ids, texts, strict=True) if t]
@@ -299,12 +282,12 @@ def _finder(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for i, text in known:
                 for m in PLACEHOLDER.finditer(text):
                     before, after, line = _context(text, m.start(), m.end())
-                    out.append((i, field, "placeholder", re.sub(r"\s+", "", m.group().lower()), before, after, hash_of(line), m.start(), m.end() - m.start()))
+                    out.append((*i, field, "placeholder", re.sub(r"\s+", "", m.group().lower()), before, after, hash_of(line), m.start(), m.end() - m.start()))
             owner, start, size, coverage = sentence_coverage([t for _, t in known], table)
             for k in np.flatnonzero(coverage >= LEAST_COVERAGE):
-                out.append((known[owner[k]][0], field, "sentence", None, None, None, None, int(start[k]), int(size[k])))
-        columns = list(zip(*out, strict=True)) if out else [()] * 9
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+                out.append((*known[owner[k]][0], field, "sentence", None, None, None, None, int(start[k]), int(size[k])))
+        columns = list(zip(*out, strict=True)) if out else [()] * 10
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _SPANS.split(", ")])
 
     return find
@@ -318,12 +301,16 @@ def hash_of(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def prose_sample(pages: DataFrame, most: int = SAMPLE_VALUES) -> list[str]:
-    """Up to ``most`` texts, chosen by a hash of page_id: what natural prose looks like here."""
-    total = max(1, pages.count())
-    share = min(1.0, 1.2 * most / total)
-    rows = pages.where("text IS NOT NULL").where(F.pmod(F.xxhash64(F.lit(11), "page_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    return [r[0] for r in rows.select("text").limit(most).collect()]
+def examples_of(pages: DataFrame, most_full: int = SAMPLE_FULL, most_short: int = SAMPLE_SHORT) -> Examples:
+    """Examples from two bounded samples: the pages with the least hashes of page_id. What is short is told from all texts."""
+    rows = pages.where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    size = F.length("text")
+    total, median = rows.agg(F.count("*"), F.percentile_approx(size, 0.5, 1000)).first()
+    short, rank = size < SHORT * (median or 0), F.xxhash64(F.lit(11), "page_id")
+    full = rows.where(~short).where(F.pmod(rank, F.lit(1_000_000)) < int(min(1.0, 1.5 * most_full / max(1, total)) * 1_000_000) + 1)
+    lines = full.select(rank.alias("rank"), F.left("text", F.lit(MOST_CHARS)).alias("text"), "description").orderBy("rank").limit(most_full).collect()
+    brief = rows.where(short).select(rank.alias("rank"), "site_id", "text").orderBy("rank").limit(most_short).collect()
+    return Examples([(r[1], r[2]) for r in lines], [(r[1] or "", r[2]) for r in brief])
 
 
 def residue_spans(pages: DataFrame) -> DataFrame:
@@ -333,16 +320,20 @@ def residue_spans(pages: DataFrame) -> DataFrame:
     quoted as a subject is dropped: contexts are counted over all values, by distinct lines, so that copies of a page
     don't make a quotation. Null and empty values have no spans. A page_id delivered twice gives the same spans twice.
     """
-    table = fit(prose_sample(pages))
-    spans = pages.where("page_id IS NOT NULL").select("page_id", *FIELDS).mapInArrow(_finder(table), _SPANS)
+    table = fit(examples_of(pages))
+    spans = pages.where("page_id IS NOT NULL").select("page_id", F.xxhash64("site_id").alias("site"), *FIELDS).mapInArrow(_finder(table), _SPANS)
     spans = materialize(spans)
+    least_sites = min(LEAST_SITES, pages.select("site_id").distinct().limit(LEAST_SITES).count())
     marks = spans.where("kind = 'placeholder'")
     alone = F.col("before").isin("^") & (F.col("after") == "$")
+    # the kinds of placeholders are many at most as the ways to write them; their sites are counted by pairs first
+    spread = marks.select("type", "site").distinct().groupBy("type").agg(F.count("*").alias("all_sites"))
 
     def quoting(side: str) -> DataFrame:
-        seen = marks.where(~alone).groupBy(side, "type").agg(F.count_distinct("line").alias("n"))
+        seen = marks.where(~alone).groupBy(side, "type").agg(F.count_distinct("line").alias("n"), F.count_distinct("site").alias("sites"))
         whole = seen.groupBy(side).agg(F.sum("n").alias("all"))
-        pure = seen.join(whole, side).where((F.col("n") >= LEAST_QUOTES) & (F.col("n") >= LEAST_PURITY * F.col("all")))
+        pure = seen.join(whole, side).where(F.col("n") >= LEAST_PURITY * F.col("all")).join(spread, "type")
+        pure = pure.where((F.col("n") >= LEAST_QUOTES) & (F.col("sites") >= least_sites) & (F.col("sites") >= LEAST_SPREAD * F.col("all_sites")))
         return pure.select(side, "type", F.lit(True).alias(f"quoted_{side}"))
 
     both = marks.join(quoting("before"), ["before", "type"], "left").join(quoting("after"), ["after", "type"], "left")
