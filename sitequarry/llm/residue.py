@@ -32,8 +32,8 @@ WINDOW, LEAST_RATIO = 14, 0.6
 #: A sentence of which this share lies in residue windows is residue (a quotation covers less of its sentence); a sentence in place of
 #: a page joins the examples from JOIN_COVERAGE on.
 LEAST_COVERAGE, JOIN_COVERAGE = 0.4, 0.6
-#: n-grams that a sentence must have to be judged.
-LEAST_GRAMS = 3
+#: n-grams and letters that a sentence must have to be judged: numbers alone are no wording.
+LEAST_GRAMS, LEAST_LETTERS = 3, 4
 #: A placeholder is quoted, not left over, where it stands after (or before) the same words in LEAST_QUOTES lines, on LEAST_SITES sites
 #: (all, where there are fewer) and on this share of all sites that have it, and hardly any other placeholder stands there.
 #: A template left unfilled repeats on its own site only.
@@ -238,7 +238,8 @@ def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray,
         mean = (total[high] - total[low]) / (number[high] - number[low])
     hit = inside & (mean > LEAST_RATIO)
     hits, valid = np.bincount(of, hit, len(first)), np.bincount(of, inside, len(first))
-    coverage = np.where(valid >= LEAST_GRAMS, hits / np.maximum(valid, 1), 0.0)
+    letters = np.bincount(of, (codes >= 97) & (codes <= 122) | (codes >= 0xC0), len(first))
+    coverage = np.where((valid >= LEAST_GRAMS) & (letters >= LEAST_LETTERS), hits / np.maximum(valid, 1), 0.0)
     text_start = np.r_[0, np.cumsum(lengths)]
     owner = np.searchsorted(text_start, first, side="right") - 1
     return owner, first - text_start[owner], size, coverage
