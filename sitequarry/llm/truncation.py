@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from sitequarry.sources.tables import materialize
 
-#: A length is a hidden limit of a source when so many texts have it exactly and it is this many times as frequent as its neighbourhood.
-LEAST_AT_LIMIT, LEAST_LIFT = 6, 12.0
+#: A length is a hidden limit of a source when its texts pile up there: by this many times over the neighbourhood's density, and by
+#: this log-likelihood ratio (natural logarithm, Poisson), which small piles don't reach by chance however many lengths there are.
+LEAST_LIFT, LEAST_EVIDENCE = 12.0, 9.0
+#: Texts that are cut between words end up to so many units below the limit: these widths are tried, too, for some measures.
+WINDOW, WINDOWED = 16, ("chars", "utf8_bytes")
 #: Of the texts that have it, at least this share must end openly; else it is a length that texts happen to have.
 LEAST_OPEN = 0.3
 #: The neighbourhood: lengths within this share of the length.
 NEIGHBOURHOOD = 0.05
-#: A closing line of up to STYLE_CHARS characters that documents of so many different lengths share is style.
-LEAST_STYLE, STYLE_CHARS = 3, 60
-#: A word seen this often in list items, never at their end, can't end one.
-LEAST_SEEN = 12
+#: A closing line of up to STYLE_CHARS characters is style when this share of all texts close with it, LEAST_STYLE of different
+#: lengths at least, and less than half of them at a hidden limit.
+STYLE_SHARE, LEAST_STYLE, STYLE_CHARS = 0.0005, 3, 60
+#: A word seen this often in list items, and at most at this rate at their end, can't end one.
+LEAST_SEEN, MOST_FINAL = 12, 0.002
 
 #: Marks put where a text was cut, at the end of its last line.
 MARK = r"(?i)(…|\.\.\.|\[(…|\.\.\.|truncated|cut|more)\]|\((…|\.\.\.|truncated|more|continued)\)|&hellip;|(read|show|view) more *[»>]*)$"
+#: Such a mark on a line of its own; it is never style.
+BARE_MARK = r"(?i)^\s*(\[(…|\.\.\.|truncated|cut|more)\]|\((…|\.\.\.|truncated|more)\)|&hellip;|(read|show|view) more *[»>]*)$"
 _END = r"[.!?。！？։؟।]"
 _CLOSE = r"[\"'”’»›)\]}*_`“]*"
 _DATE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\p{L}+\.? \d{1,2}(st|nd|rd|th)?,? \d{4}|\d{1,2}\.? (de )?\p{L}+\.? (de )?\d{4})"
@@ -72,25 +78,37 @@ def features(documents: DataFrame) -> DataFrame:
     return rows.withColumns({"shape": shape, "cut_space": F.col("last").rlike(r"[ \t]$"), "digest": F.xxhash64("text")}).drop("text")
 
 
+def _lengths(rows: DataFrame, keep: list[str], names: list[str] | None = None) -> DataFrame:
+    """``keep`` and (measure, width, length) of every length of every row: exact ones, and windows of WINDOW in two phases."""
+    names = names or list(measures(F.lit("")))
+    one = lambda n, width, value: F.struct(F.lit(n).alias("measure"), F.lit(width).alias("width"), value.cast("long").alias("length"))
+    window = lambda n, phase: ((F.col(n) + phase) / WINDOW).cast("long") * WINDOW - phase
+    parts = [one(n, 1, F.col(n)) for n in names] + [one(f"{n}_window", WINDOW, window(n, phase)) for n in names if n in WINDOWED for phase in (0, WINDOW // 2)]
+    return rows.select(*keep, F.explode(F.array(*parts)).alias("l")).select(*keep, "l.*")
+
+
 def hidden_limits(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(source, measure, length, n, lift): lengths at which a source's texts pile up, from rows of :func:`features`.
+    """(source, measure, width, length, n, lift): lengths at which a source's texts pile up, from rows of :func:`features`.
 
-    Counts are aggregated before they are shuffled. The neighbourhood's density is found by bins of its width, so a
-    length is compared with its bin and both adjacent ones.
+    ``width`` is 1 for an exact length; else (measures named ..._window) texts pile up at ``length`` and the units after it. Counts are aggregated
+    before they are shuffled. The neighbourhood's density is found by bins of its width, so a length is compared with
+    its bin and both adjacent ones. Copies of a text count once.
     """
     names = names or list(measures(F.lit("")))
-    once = rows.groupBy("source", "digest").agg(F.first("shape").alias("shape"), *[F.first(n).alias(n) for n in names])  # copies of a text count once
-    open_end = F.col("shape").isin("open fence", "mark", "prose").cast("int").alias("open")
-    each = once.select("source", open_end, F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("measure", "length"))
-    counts = materialize(each.groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.sum("open").alias("open")))
+    once = rows.groupBy("source", "digest").agg(F.first("shape").alias("shape"), *[F.first(n).alias(n) for n in names])
+    open_end = once.withColumn("open", F.col("shape").isin("open fence", "mark", "prose").cast("int"))
+    counts = _lengths(open_end, ["source", "open"], names).groupBy("source", "measure", "width", "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
+    counts = materialize(counts)
     bin_of = F.floor(F.log(F.greatest(F.col("length"), F.lit(1))) / NEIGHBOURHOOD)
-    peaks = counts.where((F.col("n") >= LEAST_AT_LIMIT) & (F.col("open") >= LEAST_OPEN * F.col("n"))).withColumn("bin", bin_of)
-    around = counts.withColumn("own", bin_of).select("source", "measure", "n", "length", F.explode(F.array("own", F.col("own") - 1, F.col("own") + 1)).alias("bin"))
+    peaks = counts.where((F.col("n") > 2) & (F.col("open") >= LEAST_OPEN * F.col("n"))).withColumn("bin", bin_of)
+    around = counts.where("width = 1").withColumn("own", bin_of).select("source", "measure", "n", "length", F.explode(F.array("own", F.col("own") - 1, F.col("own") + 1)).alias("bin"))
     around = around.groupBy("source", "measure", "bin").agg(F.sum("n").alias("near_n"))
     width = F.exp((F.col("bin") + 2) * NEIGHBOURHOOD) - F.exp((F.col("bin") - 1) * NEIGHBOURHOOD)
-    joined = peaks.join(around, ["source", "measure", "bin"])
-    lift = F.col("n") / F.greatest((F.col("near_n") - F.col("n")) / width, F.lit(0.2))
-    return joined.withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT).select("source", "measure", "length", "n", "lift")
+    peaks = peaks.withColumn("exact", F.regexp_replace("measure", "_window$", ""))
+    joined = peaks.join(around.withColumnRenamed("measure", "exact"), ["source", "exact", "bin"])
+    expected = F.greatest((F.col("near_n") - F.col("n")) / width * F.col("width"), F.lit(0.2))
+    lift, evidence = F.col("n") / expected, F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
+    return joined.withColumn("lift", lift).where((F.col("lift") >= LEAST_LIFT) & (evidence >= LEAST_EVIDENCE)).select("source", "measure", "width", "length", "n", "lift")
 
 
 def final_word(line: Column) -> Column:
@@ -115,31 +133,45 @@ def word_ends(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def truncated(documents: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, reason, measure, length) of every truncated document.
 
-    Endings: an open code fence, a mark of cutting that isn't a shared style line, prose without an end of
-    sentence, or a list item, heading or signature whose last word can't end one. A list item at a hidden limit of
-    its source needs no other sign. ``measure`` and ``length`` name the limit, where there is one.
-    Null and blank texts are not truncated. Rows with equal doc_id are judged each by their text.
+    Lengths first: a text at a hidden limit of its source is truncated unless its end is whole (an ended sentence, or a
+    proper list, table, code, link, signature or date line). ``measure`` and ``length`` name the limit. Elsewhere, as
+    after a broken transfer, the end alone decides: an open code fence, a mark of cutting, prose without an end of
+    sentence, or a list item, heading or signature whose last word can't end one. A closing line that many texts of
+    different lengths share is style. Null and blank texts are not truncated. Rows with equal doc_id are judged each by
+    their text.
     """
     rows = materialize(features(documents)) if rows is None else rows
+    texts = rows.count()
     limits = hidden_limits(rows)
-    names = list(measures(F.lit("")))
-    at = rows.where("shape != 'ended' AND shape != 'closed'").select("doc_id", "source", "last", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("measure", "length"))
-    at = at.join(limits, ["source", "measure", "length"]).groupBy("doc_id", "last").agg(F.max_by(F.struct("measure", "length"), "n").alias("limit"))
-    candidates = rows.where("shape IN ('open fence', 'mark', 'item', 'prose')").select("doc_id", "source", "last", "shape", "chars", "cut_space", "n_lines")
-    candidates = candidates.withColumn("word", F.when(F.col("shape") == "item", final_word(F.col("last"))))
-    candidates = candidates.withColumn("line", F.when(F.col("shape").isin("mark", "prose") & (F.length("last") <= STYLE_CHARS), F.trim("last")))
-    style = candidates.where("line IS NOT NULL").groupBy("line").agg(F.countDistinct("chars").alias("sharing")).where(F.col("sharing") >= LEAST_STYLE)
+    candidates = rows.where("shape IN ('open fence', 'mark', 'item', 'prose')")
+    keys = ["doc_id", "source", "digest"]
+    at = _lengths(candidates, keys).join(limits, ["source", "measure", "width", "length"])
+    at = at.groupBy("doc_id", "digest").agg(F.max_by(F.struct("measure", "width", "length"), F.struct(-F.col("width"), "n")).alias("limit"))
+    same = [F.col("d").eqNullSafe(F.col("doc_id")), F.col("g") == F.col("digest")]
+    candidates = candidates.select(*keys, "last", "shape", "chars", "cut_space").join(at.withColumnsRenamed({"doc_id": "d", "digest": "g"}), same, "left").drop("d", "g")
+    closing = F.when(F.col("shape").isin("mark", "prose") & (F.length("last") <= STYLE_CHARS) & ~F.rtrim("last").rlike(BARE_MARK), F.trim("last"))
+    # rows without a key get one of their own, so that no task gathers them
+    own = F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string"))
+    candidates = materialize(candidates.withColumns({"word": F.when(F.col("shape") == "item", final_word(F.col("last"))), "line": closing}))
+    limited = F.col("limit").isNotNull().cast("int")
+    style = candidates.where("line IS NOT NULL").groupBy("line").agg(F.count_distinct("digest").alias("n"), F.countDistinct("chars").alias("sharing"), F.avg(limited).alias("limited"))
+    style = style.where((F.col("sharing") >= LEAST_STYLE) & (F.col("n") >= STYLE_SHARE * texts) & (F.col("limited") < 0.5)).select("line", F.lit(True).alias("style"))
     ends = word_ends(documents, candidates.where("word IS NOT NULL").select("word").distinct())
-    joined = candidates.join(at, ["doc_id", "last"], "left").join(style, "line", "left").join(ends, "word", "left")
-    seen, final = F.coalesce("seen", F.lit(0)), F.coalesce("final", F.lit(0))
+    keyed = candidates.withColumns({"line": F.coalesce("line", own), "word": F.coalesce("word", own)})
+    joined = keyed.join(style, "line", "left").join(ends, "word", "left")
+    # the document's own line is among those counted
+    seen, final = F.greatest(F.coalesce("seen", F.lit(0)) - 1, F.lit(0)), F.greatest(F.coalesce("final", F.lit(0)) - 1, F.lit(0))
     raw = F.regexp_extract(F.rtrim("last"), r"([\p{L}\p{N}_'’.-]+)[)\]}\"”’»]*$", 1)
-    # the document's own line is among those counted, so one final occurrence is itself
-    odd_end = (final <= 1) & ((seen >= LEAST_SEEN) | ((seen <= 1) & raw.rlike(r"^\p{Ll}")))
+    # other lines go on after the word, or nothing but cut lines has it
+    odd_end = ((seen >= LEAST_SEEN) & (final <= MOST_FINAL * seen)) | ((seen <= final) & (final <= STYLE_SHARE * texts) & raw.rlike(r"^\p{Ll}"))
+    exact = F.col("limit").isNotNull() & ((F.col("shape") != "item") | (F.col("limit.width") == 1) & F.col("last").rlike(LIST))
     reason = (
-        F.when(F.col("shape") == "open fence", "open fence")
-        .when(F.col("shape") == "mark", F.when(F.col("sharing").isNull(), "mark"))
-        .when(F.col("shape") == "prose", F.when(F.col("sharing").isNull(), "unfinished sentence"))
-        .when(F.col("shape") == "item", F.when(F.col("limit").isNotNull() & F.col("last").rlike(LIST), "at limit").when(odd_end, "unfinished item").when(F.col("cut_space"), "trailing space"))
+        F.when(F.col("style"), None)
+        .when(exact, "at limit")
+        .when(F.col("shape") == "open fence", "open fence")
+        .when(F.col("shape") == "mark", "mark")
+        .when(F.col("shape") == "prose", "unfinished sentence")
+        .when(F.col("shape") == "item", F.when(odd_end, "unfinished item").when(F.col("cut_space"), "trailing space"))
     )
     return joined.select("doc_id", "source", reason.alias("reason"), "limit.measure", "limit.length").where("reason IS NOT NULL")
 

@@ -170,6 +170,25 @@ def test_hidden_limits_in_other_measures(spark):
     assert not any(s == "bytes" and m == "chars" for s, m, _ in found)
 
 
+def test_limits_decide_and_larger_tables_lose_nothing(spark):
+    """Cuts at a limit need no sign but their length; ten times the rows, with chance collisions of cut ends, find as large a share."""
+    rng = random.Random(12)
+    for scale in (1, 10):
+        rows = []
+        for i in range(150 * scale):
+            text = " ".join(prose(rng, rng.randrange(6, 14)) for _ in range(12))
+            rows += [("cards", text[:400]), ("cards", text[: rng.randrange(300, 390)].rsplit(".", 1)[0] + "."), ("words", text[:300].rsplit(" ", 1)[0])]
+            rows.append(("wire", f"{text}\nIt stops in {rng.choice(WORDS)} {rng.choice(WORDS)}"))
+            rows.append(("style", f"{text[: rng.randrange(150, 500)]}.\n(end)"))
+        found = truncated(docs(spark, rows)).select("doc_id", "reason").collect()
+        got = {r.doc_id for r in found}
+        at_limit = {r.doc_id for r in found if r.reason == "at limit"}
+        whole = {i for i, (s, t) in enumerate(rows) if s == "style" or t.rstrip().endswith(".")}
+        assert not got & whole
+        assert {i for i, (s, t) in enumerate(rows) if s in ("cards", "words")} - whole <= at_limit
+        assert {i for i, (s, _) in enumerate(rows) if s == "wire"} <= got
+
+
 # problem 1
 
 
