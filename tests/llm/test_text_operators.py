@@ -178,7 +178,7 @@ def test_limits_decide_and_larger_tables_lose_nothing(spark):
         for i in range(150 * scale):
             text = " ".join(prose(rng, rng.randrange(6, 14)) for _ in range(12))
             rows += [("cards", text[:400]), ("cards", text[: rng.randrange(300, 390)].rsplit(".", 1)[0] + "."), ("words", text[:300].rsplit(" ", 1)[0])]
-            rows.append(("wire", f"{text}\nIt stops in {rng.choice(WORDS)} {rng.choice(WORDS)}"))
+            rows.append(("wire", f"{text}\nIt stops in {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}"))
             rows.append(("style", f"{text[: rng.randrange(150, 500)]}.\n(end)"))
         found = truncated(docs(spark, rows)).select("doc_id", "reason").collect()
         got = {r.doc_id for r in found}
