@@ -29,8 +29,14 @@ TASK_ROWS = 120_000
 FREQUENCY_BITS = 19
 #: Pairs looked at in one vectorised step.
 STEP = 1 << 21
+#: Members of a group that meet those of another at once, about: larger groups are cut into chunks.
+CHUNK = 512
+#: 64-bit words of a whole set's parity map.
+MAP_WORDS = 8
 
-_PART_SCHEMA = "class int, range int, id long, total int, size int, low long, high long, digest long, index int, tokens array<int>"
+_PART_SCHEMA = "class int, range int, id long, total int, size int, low long, high long, digest long, index int, lead boolean, tokens array<int>"
+#: A pair of groups (members ``na`` and ``nb``), or, where ``member`` is set, that the group ``a`` of ``na`` members has it.
+_JOIN_SCHEMA = "class int, a long, b long, na long, nb long, member long"
 
 
 def shingle_sets(pages: DataFrame, words: int = 5, least_words: int = 1) -> DataFrame:
@@ -126,7 +132,7 @@ def _splitter(frequencies: np.ndarray, threshold: float, ranges: int) -> Callabl
         tokens = pa.ListArray.from_arrays(pa.array(np.r_[start, len(key)].astype(np.int32)), pa.array(token.astype(np.int32)))
         columns = [
             (segment[first][at] % CLASSES).astype(np.int32), chunk[start].astype(np.int32), ids[owner], lengths[owner].astype(np.int32), size[at].astype(np.int32),
-            low[at].view(np.int64), high[at].view(np.int64), digest[at].view(np.int64), indexed.astype(np.int32),
+            low[at].view(np.int64), high[at].view(np.int64), digest[at].view(np.int64), indexed.astype(np.int32), place[start] == 0,
         ]
         names = [c.split()[0] for c in _PART_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), tokens], names)
@@ -135,13 +141,17 @@ def _splitter(frequencies: np.ndarray, threshold: float, ranges: int) -> Callabl
 
 
 def _joiner(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    """Joins the parts of one class and token range; gives pairs of ids."""
+    """Joins the parts of one class and token range; gives pairs of groups of equal parts, and the groups' members.
+
+    Groups are named by their smallest id, so every range names them alike; members come from the range of the
+    group's first token only. Nothing is expanded here: the result has a row a pair of groups and a row a member.
+    """
 
     def join(table: pa.Table) -> pa.Table:
         col = {n: np.asarray(table[n].combine_chunks()) for n in table.column_names if n != "tokens"}
         tokens, lengths = _flat(table["tokens"])
         # equal parts form one group; groups are ranked by size
-        order = np.lexsort((col["digest"], col["size"]))
+        order = np.lexsort((col["id"], col["digest"], col["size"]))
         tokens_start = np.r_[0, np.cumsum(lengths)]
         s, d = col["size"][order], col["digest"][order]
         head = np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])] if len(s) else np.zeros(0, bool)
@@ -187,33 +197,59 @@ def _joiner(threshold: float) -> Callable[[pa.Table], pa.Table]:
                 found.append(np.unique((left[ok].astype(np.int64) << 31) | right[ok]))
             at = to
         codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        own = np.flatnonzero(member_end - group_start > 1)
-        left, right = np.r_[codes >> 31, own], np.r_[codes & (2**31 - 1), own]
-        # expand the groups to their members
-        out_a, out_b = [], []
         counts = member_end - group_start
-        product = counts[left] * counts[right]
-        at, ends = 0, np.cumsum(product)
-        while at < len(left):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + STEP, side="right")))
-            w = product[at:to]
-            step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-            l, r = np.repeat(left[at:to], w), np.repeat(right[at:to], w)
-            i, j = group_start[l] + step // counts[r], group_start[r] + step % counts[r]
-            ok = (i != j) & ((l != r) | (i < j))
-            ok &= np.minimum(totals[i], totals[j]) >= threshold * np.maximum(totals[i], totals[j]) - 1e-9
-            a, b = members[i[ok]], members[j[ok]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-            at = to
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        name = members[group_start]
+        # a group's own pairs, and its members, are told once
+        own = np.flatnonzero((counts > 1) & col["lead"][rep])
+        left, right = np.r_[codes >> 31, own], np.r_[codes & (2**31 - 1), own]
+        told = np.repeat(own, counts[own])
+        inner = np.arange(len(told)) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
+        within = members[group_start[told] + inner]
+        classes = np.full(len(left) + len(told), col["class"][0] if len(order) else 0, np.int32)
+        out = [np.r_[name[left], name[told]], np.r_[name[right], name[told]], np.r_[counts[left], counts[told]], np.r_[counts[right], counts[told]]]
+        none = np.r_[np.ones(len(left), bool), np.zeros(len(told), bool)]
+        member = pa.array(np.r_[np.zeros(len(left), np.int64), within], pa.int64(), mask=none)
+        return pa.table([pa.array(classes), *(pa.array(c, pa.int64()) for c in out), member], names=["class", "a", "b", "na", "nb", "member"])
 
     return join
 
 
+def parity_maps(sets: DataFrame) -> DataFrame:
+    """(id, total, map): size and parity map of each whole set, MAP_WORDS words. Maps of sets with d elements not in common differ in at most d bits."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, lengths = _flat(b.column(1))
+            mixed = values.astype(np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            bit = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
+            words = np.zeros(len(lengths) * MAP_WORDS, np.uint64)
+            at = np.repeat(np.arange(len(lengths)), lengths) * MAP_WORDS + (bit >> np.uint64(6)).astype(np.int64)
+            np.bitwise_xor.at(words, at, np.uint64(1) << (bit & np.uint64(63)))
+            ends = np.arange(0, len(words) + 1, MAP_WORDS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64)))], ["id", "total", "map"])
+
+    return sets.select("id", "shingles").mapInArrow(maps, "id long, total int, map array<long>")
+
+
+def expand(pairs: DataFrame, members: DataFrame, groups: list[str], carried: list[str]) -> DataFrame:
+    """(x, y, x_..., y_... of ``carried``): members of the groups of each pair; x and y differ, a pair within a group comes once.
+
+    ``pairs``: ``groups`` (further key columns), a, b, na, nb; ``members``: ``groups``, a, na, member, ``carried``. A
+    group of n members is cut into n / CHUNK chunks, so a join key has about CHUNK members, and the pairs of chunks of
+    a large group are spread over all tasks. Rows are joined and filtered as they come, never gathered.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    each = pairs.withColumn("ca", F.explode(F.sequence(F.lit(0), chunks("na") - 1)))
+    least = F.when(F.col("a") == F.col("b"), F.col("ca")).otherwise(0)
+    each = each.withColumn("cb", F.explode(F.sequence(least, chunks("nb") - 1))).drop("na", "nb")
+    cut = members.withColumn("chunk", F.pmod(F.xxhash64("member"), chunks("na")).cast("int"))
+    side = lambda g, c, m: cut.select(*groups, F.col("a").alias(g), F.col("chunk").alias(c), F.col("member").alias(m), *[F.col(x).alias(f"{m}_{x}") for x in carried])
+    both = each.join(side("a", "ca", "x"), [*groups, "a", "ca"]).join(side("b", "cb", "y"), [*groups, "b", "cb"])
+    within = (F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb"))
+    return both.where((F.col("x") != F.col("y")) & (~within | (F.col("x") < F.col("y")))).select("x", "y", *[f"{m}_{c}" for m in "xy" for c in carried])
+
+
 class NearDuplicates:
     """Classes of pages with equal shingle sets, and the similar pairs among the classes.
 
@@ -239,7 +275,22 @@ class NearDuplicates:
         frequencies = shingle_frequencies(self.sets)
         ranges = max(1, -(-self.sets.count() // TASK_ROWS))
         parts = self.sets.select("id", "shingles").mapInArrow(_splitter(frequencies, threshold, ranges), _PART_SCHEMA)
-        return parts.groupBy("class", "range").applyInArrow(_joiner(threshold), "a long, b long").distinct()
+        told = materialize(parts.groupBy("class", "range").applyInArrow(_joiner(threshold), _JOIN_SCHEMA))
+        pairs = told.where("member IS NULL").drop("member").distinct()
+        single = pairs.where("na = 1 AND nb = 1").select("a", "b")
+        groups = pairs.where("na > 1 OR nb > 1")
+        members = told.where("member IS NOT NULL").select("class", "a", "na", "member")
+        # the other side of a group may be a single one, which is its own only member
+        alone = [groups.where(f"n{x} = 1").select("class", F.col(x).alias("a"), F.lit(1).cast("long").alias("na"), F.col(x).alias("member")) for x in "ab"]
+        members = members.unionByName(alone[0].unionByName(alone[1]).distinct())
+        maps = parity_maps(self.sets.join(members.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
+        members = materialize(members.join(maps, members["member"] == maps["id"]).drop("id"))
+        found = expand(groups, members, ["class"], ["total", "map"])
+        differ = sum((F.bit_count(F.col("x_map")[k].bitwiseXOR(F.col("y_map")[k])) for k in range(1, MAP_WORDS)), F.bit_count(F.col("x_map")[0].bitwiseXOR(F.col("y_map")[0])))
+        least, most = F.least("x_total", "y_total"), F.greatest("x_total", "y_total")
+        fits = (least >= threshold * most - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (least + most) + 1e-9)
+        found = found.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return single.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(found).distinct()
 
     def _verified(self, threshold: float) -> DataFrame:
         found = materialize(self._candidates(threshold))
@@ -253,12 +304,12 @@ class NearDuplicates:
 
     def page_pairs(self) -> DataFrame:
         """(page_id_a, page_id_b): all similar pairs of pages, copies included; as many rows as there are such pairs."""
-        member = self.members.select("page_id", "class_id")
-        pairs = self.pairs.select("a", "b").unionByName(self.members.where("class_rows > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).distinct())
-        left = member.select(F.col("page_id").alias("x"), F.col("class_id").alias("a"))
-        right = member.select(F.col("page_id").alias("y"), F.col("class_id").alias("b"))
-        both = pairs.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-        return both.select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))
+        sizes = self.members.select("class_id", "class_rows").distinct()
+        rows = lambda x: sizes.select(F.col("class_id").alias(x), F.col("class_rows").alias(f"n{x}"))
+        pairs = self.pairs.select("a", "b").join(rows("a"), "a").join(rows("b"), "b").select("a", "b", "na", "nb")
+        pairs = pairs.unionByName(sizes.where("class_rows > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.col("class_rows").alias("na"), F.col("class_rows").alias("nb")))
+        members = self.members.select(F.col("class_id").alias("a"), F.col("class_rows").alias("na"), F.col("page_id").alias("member"))
+        return expand(pairs, members, [], []).select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))
 
     def groups(self) -> DataFrame:
         """(page_id, class_id, group_id, links): a page's group of similar pages, named by its smallest class_id.
@@ -276,20 +327,21 @@ class NearDuplicates:
         return attach(self.members.select("page_id", "class_id"), facts, ["class_id"], "class_rows", self.total).drop("class_rows")
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(class_id, group_id): connected components, each named by its smallest id; pairs are (a, b).
 
-    Alternating large-star and small-star rounds; each round's edges are written, and rounds end when no edge changes.
-    Minima are aggregated before they are shuffled, so a hub of many edges is not gathered in one task.
+    Alternating large-star and small-star rounds until no edge changes, which takes at most about the square of the
+    logarithm of the number of ids; each round's edges are written. Minima are aggregated before they are shuffled, and
+    edges meet them by :func:`attach`, so a hub of many edges is not gathered in one task.
     """
     edges = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = materialize(attach(both, least, ["u"], "degree", both.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = attach(large, least, ["u"], "degree", large.count()).select(F.col("v").alias("x"), "u", "m")
         edges = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
