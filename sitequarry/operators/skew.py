@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitequarry.sources.tables import materialize
+
 
 def attach(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str, total: int, hot_share: float = 1 / 256) -> DataFrame:
     """Inner join of ``facts`` with ``lookup`` (one row a key), safe against hot keys.
@@ -45,3 +47,22 @@ def neighbour(rows: DataFrame, group: list[str], order: list[str], bucket: Colum
     joined = lagged.join(carry, [*group, "_bucket", "_no"], "left")
     picked = F.when(F.col("_no") == 1, F.col("_carry")).otherwise(F.col("_lag"))
     return joined.select(*[c for c in rows.columns if c != "_bucket"], *[picked[v].alias(prefix + v) for v in value])
+
+
+#: Slots of :func:`sieve`.
+SLOTS = 1 << 21
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts without a shuffle of them: those whose key may be among ``wanted`` (one column), and those whose key is not.
+
+    The wanted keys are reduced to the slots of a hash, of which there are at most SLOTS whatever the input; only these
+    are broadcast. The first part holds all wanted rows and a few others, so a join with the wanted keys must follow,
+    but it shuffles these only. With many more wanted keys than slots all rows are in the first part, which is slower,
+    not wrong. A null key is in the second part.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    name = wanted.columns[0]
+    slots = materialize(wanted.where(F.col(name).isNotNull()).select(slot(F.col(name)).alias("_slot")).distinct()).withColumn("_in", F.lit(True))
+    marked = rows.withColumn("_slot", F.when(F.col(key).isNotNull(), slot(F.col(key)))).join(F.broadcast(slots), "_slot", "left").drop("_slot")
+    return marked.where("_in").drop("_in"), marked.where("_in IS NULL").drop("_in")
