@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions.binding import let
 from sitequarry.llm.rows import one_per_page
-from sitequarry.operators.skew import attach
+from sitequarry.operators.skew import attach, sieve
 from sitequarry.sources.tables import materialize
 
 #: Hash classes of shingles.
@@ -264,11 +264,14 @@ class NearDuplicates:
         classes = materialize(classes)
         self.total = all_sets.count()
         self.members = materialize(attach(latest, classes, ["h1", "h2"], "class_rows", self.total).select("page_id", "class_id", "class_rows"))
-        # a class's set comes from the row of its first page: other copies aren't shuffled as sets
+        # a class's set comes from the row of its first page. Only pages that are no first one, or came more than once,
+        # are shuffled with their sets to be dropped; all others pass
         firsts = classes.select(F.col("class_id").alias("page_id"), "h1", "h2")
+        once = all_sets.groupBy("page_id", "h1", "h2").agg(F.count("*").alias("n")).join(firsts.withColumn("first", F.lit(True)), ["page_id", "h1", "h2"], "left")
+        doubtful, sure = sieve(all_sets.select("page_id", "h1", "h2", "shingles"), "page_id", once.where("first IS NULL OR n > 1").select("page_id"))
         # the grouping has the join's keys, so sets are shuffled once
-        sets = all_sets.join(firsts, ["page_id", "h1", "h2"]).groupBy("page_id", "h1", "h2").agg(F.first("shingles").alias("shingles"))
-        self.sets = materialize(sets.select(F.col("page_id").alias("id"), "shingles"))
+        sets = doubtful.join(firsts, ["page_id", "h1", "h2"]).groupBy("page_id", "h1", "h2").agg(F.first("shingles").alias("shingles"))
+        self.sets = materialize(sure.unionByName(sets).select(F.col("page_id").alias("id"), "shingles"))
         self.pairs = materialize(self._verified(threshold))
 
     def _candidates(self, threshold: float) -> DataFrame:
@@ -283,7 +286,7 @@ class NearDuplicates:
         # the other side of a group may be a single one, which is its own only member
         alone = [groups.where(f"n{x} = 1").select("class", F.col(x).alias("a"), F.lit(1).cast("long").alias("na"), F.col(x).alias("member")) for x in "ab"]
         members = members.unionByName(alone[0].unionByName(alone[1]).distinct())
-        maps = parity_maps(self.sets.join(members.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
+        maps = parity_maps(self.sets)
         members = materialize(members.join(maps, members["member"] == maps["id"]).drop("id"))
         found = expand(groups, members, ["class"], ["total", "map"])
         differ = sum((F.bit_count(F.col("x_map")[k].bitwiseXOR(F.col("y_map")[k])) for k in range(1, MAP_WORDS)), F.bit_count(F.col("x_map")[0].bitwiseXOR(F.col("y_map")[0])))
@@ -295,7 +298,7 @@ class NearDuplicates:
     def _verified(self, threshold: float) -> DataFrame:
         found = materialize(self._candidates(threshold))
         ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = self.sets.join(ids, "id", "left_semi")
+        needed = materialize(sieve(self.sets, "id", ids)[0].join(ids, "id", "left_semi"))
         left = needed.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = needed.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = found.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
