@@ -198,7 +198,18 @@ def title_from_path(url: Column) -> Column:
     return label(F.coalesce(F.try_element_at(segments(url), F.lit(-1)), F.lit("Home")))
 
 
+def markdown_targets(header: Column) -> Column:
+    """Targets of the parts of a Link header that are alternates in Markdown, in order; null for a null header."""
+    parts = F.filter(F.split(header, ","), lambda p: p.rlike(r"""(?i)rel="?alternate"?""") & p.rlike(r"""(?i)type="?text/markdown"?"""))
+    return F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"<([^>]+)>", 1)), lambda t: t != "")
+
+
 def markdown_from_header(header: Column) -> Column:
-    """Target of the first part of a Link header that is an alternate in Markdown; to be resolved."""
-    parts = F.filter(F.split(header, ","), lambda p: p.rlike(r"""(?i)rel="?alternate"?""") & p.rlike(r"(?i)text/markdown"))
-    return F.nullif(F.regexp_extract(F.get(parts, F.lit(0)), r"<([^>]+)>", 1), F.lit(""))
+    """The first of :func:`markdown_targets`, not resolved; null without one."""
+    return F.get(markdown_targets(header), F.lit(0))
+
+
+@F.pandas_udf(StringType())
+def resolve_first(urls: pd.Series, base: pd.Series) -> pd.Series:
+    """The first of several references that resolves against a base; null where none does."""
+    return pd.Series([next((r for u in (us if us is not None else ()) if u and u.strip() and (r := normalize(u, b))), None) for us, b in zip(urls, base, strict=True)], dtype=object)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions.urls import in_scope, is_likely_page, is_same_site
+from sitequarry.operators.skew import attach
 from sitequarry.sources.tables import materialize
 
 #: Body size that a fetch is cut to.
@@ -52,34 +53,55 @@ def inbound(links: DataFrame) -> DataFrame:
     return links.groupBy("site_id", F.col("to_url").alias("url")).agg(F.count("*").alias("inbound_links"))
 
 
-def crawl(entries: DataFrame, sitemap: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 500) -> DataFrame:
-    """(site_id, url, depth, seq): pages that a breadth-first crawl visits, in its order.
+def scoped(links: DataFrame, entries: DataFrame, column: str) -> DataFrame:
+    """Rows whose URL in ``column`` is in the scope of their site's entry; ``entries`` is (site_id, entry_url, scope_to_path)."""
+    counts = links.groupBy("site_id").agg(F.count("*").alias("_rows"))
+    known = materialize(entries.select("site_id", "entry_url", F.coalesce("scope_to_path", F.lit(False)).alias("_to_path")).join(counts, "site_id"))
+    total = known.agg(F.sum("_rows")).first()[0] or 0
+    return attach(links, known, ["site_id"], "_rows", total).where(in_scope(F.col(column), F.col("entry_url"), F.col("_to_path"))).select(*links.columns)
 
-    ``entries`` is (site_id, entry_url) at depth 0, ``sitemap`` (site_id, url, pos) at depth 1 before links; ``pages`` (site_id, url)
-    are those that can be fetched, ``links`` as from :func:`edges`. A page is visited at its first occurrence in the order
-    (depth, sitemap before links, seq of the linking page, link position); a site stops at ``max_pages``. A queue that
-    is first in, first out never lowers its depth, so levels give the same order. Each level is two joins by (site, url) and
-    is written; there are at most ``max_depth`` of them.
+
+def crawl(entries: DataFrame, sitemap: DataFrame, fetched: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 500, denied: DataFrame | None = None) -> DataFrame:
+    """(site_id, url, depth, seq): pages that a breadth-first crawl stores, in its order.
+
+    ``entries`` is (site_id, entry_url) at depth 0, ``sitemap`` (site_id, url, pos) at depth 1 before links, ``links`` as
+    from :func:`edges`, ``denied`` (site_id, url) what robots files keep out. ``fetched`` is (site_id, url) of pages, or
+    with ``outcome`` all that can be asked for; only those with outcome ``page`` are stored and have their links followed.
+
+    A URL is visited at its first occurrence in the order (depth, sitemap before links, seq of the linking page, link
+    position). A site ends with its ``max_pages``-th page, or when 3 * ``max_pages`` URLs were visited. A queue that is
+    first in, first out never lowers its depth, so levels give the same order. Each level is a few joins by (site, url)
+    and is written; there are at most ``max_depth`` of them.
     """
-    fetchable = pages.select("site_id", "url").distinct()
-    start = entries.select("site_id", F.col("entry_url").alias("url")).distinct().join(fetchable, ["site_id", "url"], "left_semi")
-    level = materialize(start.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("seq")))
-    done = level
-    for depth in range(1, max_depth + 1):
-        out = links.join(level.select("site_id", F.col("url").alias("from_url"), "seq"), ["site_id", "from_url"])
-        found = out.select("site_id", F.col("to_url").alias("url"), F.struct(F.lit(1).alias("k"), F.col("seq").cast("long").alias("a"), F.col("pos").cast("long").alias("b")).alias("at"))
-        if depth == 1:
-            found = found.unionByName(sitemap.select("site_id", "url", F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("a"), F.col("pos").cast("long").alias("b")).alias("at")))
-        fresh = found.groupBy("site_id", "url").agg(F.min("at").alias("at")).join(fetchable, ["site_id", "url"], "left_semi").join(done, ["site_id", "url"], "left_anti")
-        counts = done.groupBy("site_id").agg(F.count("*").alias("before"))
-        # a site's queue is cut to its budget by each task before the window sees it
-        ranked = fresh.withColumn("no", F.row_number().over(Window.partitionBy("site_id").orderBy("at"))).where(F.col("no") <= max_pages)
-        level = ranked.join(counts, "site_id").where(F.col("before") + F.col("no") <= max_pages)
-        level = materialize(level.select("site_id", "url", F.lit(depth).alias("depth"), (F.col("before") + F.col("no")).cast("long").alias("seq")))
-        if level.isEmpty():
+    outcome = F.col("outcome") if "outcome" in fetched.columns else F.lit("page")
+    known = fetched.groupBy("site_id", "url").agg(F.max((outcome == "page").cast("int")).alias("stored"))
+    if denied is not None:
+        known = known.join(denied.select("site_id", "url"), ["site_id", "url"], "left_anti")
+    known = materialize(known)
+    at = lambda k, a, b: F.struct(F.lit(k).alias("k"), a.cast("long").alias("a"), b.cast("long").alias("b")).alias("at")
+    found = entries.select("site_id", F.col("entry_url").alias("url"), at(0, F.lit(0), F.lit(0)))
+    visited = None
+    for depth in range(max_depth + 1):
+        fresh = found.groupBy("site_id", "url").agg(F.min("at").alias("at")).join(known, ["site_id", "url"])
+        if visited is not None:
+            before = visited.groupBy("site_id").agg(F.count("*").alias("v"), F.sum("stored").alias("p"))
+            fresh = fresh.join(visited, ["site_id", "url"], "left_anti").join(before, "site_id", "left")
+        else:
+            fresh = fresh.withColumns({"v": F.lit(0).cast("long"), "p": F.lit(0).cast("long")})
+        # a site's queue is cut to its budget by each task before a window sums over what is left
+        own = Window.partitionBy("site_id").orderBy("at", "url")
+        cut = fresh.withColumn("no", F.row_number().over(own)).where(F.col("no") <= 3 * max_pages)
+        pages = F.coalesce("p", F.lit(0)) + F.sum("stored").over(own)
+        cut = cut.withColumn("pages", pages).where((F.coalesce("v", F.lit(0)) + F.col("no") <= 3 * max_pages) & (F.col("pages") - F.col("stored") < max_pages))
+        level = materialize(cut.select("site_id", "url", "stored", F.lit(depth).alias("depth"), F.col("pages").cast("long").alias("seq")))
+        visited = level if visited is None else materialize(visited.unionByName(level))
+        if level.isEmpty() or depth == max_depth:
             break
-        done = materialize(done.unionByName(level))
-    return done
+        out = links.join(level.where("stored = 1").select("site_id", F.col("url").alias("from_url"), "seq"), ["site_id", "from_url"])
+        found = out.select("site_id", F.col("to_url").alias("url"), at(1, F.col("seq"), F.col("pos")))
+        if depth == 0:
+            found = found.unionByName(sitemap.select("site_id", "url", at(0, F.lit(0), F.col("pos"))))
+    return visited.where("stored = 1").select("site_id", "url", "depth", "seq")
 
 
 def finish(visited: DataFrame, links: DataFrame, nav: DataFrame, used_sitemap: DataFrame) -> DataFrame:

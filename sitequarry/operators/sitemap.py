@@ -15,7 +15,7 @@ from sitequarry.sources.tables import materialize
 
 #: Where sitemaps are looked for, besides those a robots file names.
 PATHS = ["sitemap.xml", "sitemap_index.xml", "sitemap-index.xml", "sitemap/sitemap.xml", "wp-sitemap.xml", "sitemap.txt"]
-#: Sitemaps a walk reads at most before it stops, by batches.
+#: A walk takes BATCH sitemaps of a site at a time, as long as it has seen fewer than MOST_SITEMAPS.
 MOST_SITEMAPS, BATCH = 25, 5
 
 
@@ -61,29 +61,50 @@ def entries(bodies: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "kind", "pos", "url", F.when(page, F.nullif("e.lastmod", F.lit(""))).alias("lastmod"), F.when(page, F.expr("try_cast(nullif(e.priority, '') AS double)")).alias("priority"))
 
 
-def collect(seeds: DataFrame, bodies: DataFrame, limit: int, most_levels: int = 8) -> DataFrame:
-    """(site_id, pos, url): the first ``limit`` page URLs of each site's sitemaps, level by level from ``seeds``.
+def seeds(origins: DataFrame, hints: DataFrame) -> DataFrame:
+    """(site_id, origin, pos, sitemap): where a walk begins. Those a robots file names, in its order, then the usual places; repeats count once.
 
-    ``seeds`` is (site_id, origin, pos, sitemap), ``bodies`` (sitemap, body). A level reads the sitemaps not read before, in
-    their order, at most MOST_SITEMAPS a site in all. Pages must be of the site and look like pages; of equal URLs the
-    first counts. Each level is written, so lineage doesn't grow; levels are few.
+    ``origins`` is (site_id, origin), an origin without a slash at its end; ``hints`` (site_id, no, sitemap).
+    """
+    usual = origins.select("site_id", "origin", F.posexplode(F.array(*[F.concat("origin", F.lit(f"/{p}")) for p in PATHS])).alias("pos", "sitemap")).withColumn("pos", F.col("pos") + 10**6)
+    named = origins.join(hints.select("site_id", F.col("no").alias("pos"), "sitemap"), "site_id").select("site_id", "origin", "pos", "sitemap")
+    return named.unionByName(usual).groupBy("site_id", "origin", "sitemap").agg(F.min("pos").cast("long").alias("pos"))
+
+
+def read_bodies(files: DataFrame) -> DataFrame:
+    """(sitemap, body) of fetched files (sitemap, status, content): names that end in .gz are unpacked, failed ones have no body."""
+    packed = F.col("sitemap").endswith(".gz")
+    body = F.when(packed, gunzip(F.when(packed, F.col("content")))).otherwise(F.decode("content", "UTF-8"))
+    return files.where("status < 400").select("sitemap", body.alias("body"))
+
+
+def collect(seeds: DataFrame, bodies: DataFrame, limit: int) -> DataFrame:
+    """(site_id, pos, url): the first ``limit`` page URLs of each site's sitemaps.
+
+    ``seeds`` is (site_id, origin, pos, sitemap), ``bodies`` (sitemap, body). Every site has a queue: a round takes its
+    next BATCH sitemaps, those seen before without effect, and adds the children of the same site at the end. A site
+    is done when its queue is empty, MOST_SITEMAPS were seen or ``limit`` pages found. Pages must be of the site and
+    look like pages; of equal URLs the first counts. All sites advance in the same round, each round is written.
     """
     parsed = materialize(entries(bodies.select("sitemap", F.col("sitemap").alias("base"), "body"), ["sitemap"]))
-    level = materialize(seeds.groupBy("site_id", "origin", "sitemap").agg(F.min("pos").cast("long").alias("pos")))
-    seen, pages = None, None
-    for depth in range(most_levels):
-        order = Window.partitionBy("site_id").orderBy("pos")
-        room = level.withColumn("no", F.row_number().over(order)).where(F.col("no") <= MOST_SITEMAPS)
-        if seen is not None:
-            counts = seen.groupBy("site_id").agg(F.count("*").alias("read"))
-            room = room.join(seen, ["site_id", "sitemap"], "left_anti").join(counts, "site_id", "left").where(F.col("no") + F.coalesce("read", F.lit(0)) <= MOST_SITEMAPS).drop("read")
-        room = materialize(room)
-        rows = room.drop("pos").join(parsed, "sitemap").select("site_id", "origin", "kind", "url", (F.lit(depth * 10**12) + F.col("no") * 10**7 + F.col("pos")).alias("pos"))
-        good = rows.where("kind = 'page'").where(is_same_site(F.col("url"), F.col("origin")) & is_likely_page(F.col("url"))).select("site_id", "url", "pos")
-        pages = good if pages is None else pages.unionByName(good)
-        seen = room.select("site_id", "sitemap") if seen is None else materialize(seen.unionByName(room.select("site_id", "sitemap")))
-        level = materialize(rows.where("kind = 'sitemap'").groupBy("site_id", "origin", F.col("url").alias("sitemap")).agg(F.min("pos").alias("pos")))
-        if level.isEmpty():
-            break
-    once = pages.groupBy("site_id", "url").agg(F.min("pos").alias("first"))
-    return once.withColumn("pos", F.row_number().over(Window.partitionBy("site_id").orderBy("first"))).where(F.col("pos") <= limit).select("site_id", "pos", "url")
+    first = ["site_id", "origin"]
+    queue = materialize(seeds.select(*first, "sitemap", F.struct(F.lit(-1).alias("round"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at")))
+    seen = materialize(queue.select("site_id", "sitemap").where("false"))
+    pages = materialize(queue.select("site_id", F.lit("").alias("url"), "at").where("false"))
+    number = 0
+    while not queue.isEmpty():
+        ranked = queue.withColumn("no", F.row_number().over(Window.partitionBy("site_id").orderBy("at", "sitemap")))
+        taken = ranked.where(F.col("no") <= BATCH).groupBy(*first, "sitemap").agg(F.min("no").cast("long").alias("no")).join(seen, ["site_id", "sitemap"], "left_anti")
+        taken = materialize(taken)
+        at = F.struct(F.lit(number).alias("round"), F.col("no").alias("a"), F.col("pos").cast("long").alias("b")).alias("at")
+        rows = materialize(taken.join(parsed, "sitemap").where(is_same_site(F.col("url"), F.col("origin"))).select(*first, "kind", "url", at))
+        seen = materialize(seen.unionByName(taken.select("site_id", "sitemap")))
+        good = rows.where("kind = 'page'").where(is_likely_page(F.col("url"))).select("site_id", "url", "at")
+        pages = materialize(pages.unionByName(good).groupBy("site_id", "url").agg(F.min("at").alias("at")))
+        full = seen.groupBy("site_id").count().where(F.col("count") >= MOST_SITEMAPS).select("site_id")
+        full = full.unionByName(pages.groupBy("site_id").count().where(F.col("count") >= limit).select("site_id")).distinct()
+        rest = ranked.where(F.col("no") > BATCH).drop("no").unionByName(rows.where("kind = 'sitemap'").select(*first, F.col("url").alias("sitemap"), "at"))
+        queue = materialize(rest.join(full, "site_id", "left_anti"))
+        number += 1
+    order = Window.partitionBy("site_id").orderBy("at", "url")
+    return pages.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("site_id", "pos", "url")

@@ -33,9 +33,9 @@ def same_site(spark: SparkSession, root: str) -> DataFrame:
 def resolve_links(spark: SparkSession, root: str) -> DataFrame:
     """Targets of relative references and of Link headers, on the pages' own urls."""
     base = pages(spark, root, []).select("seq", "url")
-    header = F.concat(F.lit('<https://cdn.example/a.css>; rel=preload, <../md/'), F.col("seq").cast("string"), F.lit('.md?utm_a=1>; rel="alternate"; type="text/markdown"'))
-    rows = base.select("seq", "url", F.lit("../up/./x/?b=2&a=1#f").alias("reference"), urls.markdown_from_header(header).alias("target"))
-    return rows.select("seq", urls.resolve_url("reference", "url").alias("resolved"), urls.resolve_url("target", "url").alias("markdown"))
+    header = F.concat(F.lit('<https://cdn.example/a.css>; rel=preload, <mailto:a@b.example>; rel="alternate"; type="text/markdown", <../md/'), F.col("seq").cast("string"), F.lit('.md?utm_a=1>; rel="alternate"; type="text/markdown"'))
+    rows = base.select("seq", "url", F.lit("../up/./x/?b=2&a=1#f").alias("reference"), urls.markdown_targets(header).alias("targets"))
+    return rows.select("seq", urls.resolve_url("reference", "url").alias("resolved"), urls.resolve_first("targets", "url").alias("markdown"))
 
 
 def classify_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -167,6 +167,9 @@ SQL = {
     "same_site": PAGES_SQL
     + r""", eb AS (SELECT *, regexp_extract(entry_url, '^https?://([^/]*)', 1) eh, CASE WHEN regexp_extract(entry_url, '^https?://[^/]*(.*)$', 1) IN ('', '/') THEN '/' ELSE regexp_extract(entry_url, '^https?://[^/]*(.*)$', 1) END ep FROM en)
     SELECT site_id, count(*) pages, count(*) FILTER (nhost = eh) same_site, count(*) FILTER (nhost = eh AND (ep = '/' OR starts_with(path, ep))) in_scope FROM pg JOIN eb USING (site_id) GROUP BY site_id""",
+    "resolve_links": PAGES_SQL
+    + """, b AS (SELECT seq, regexp_extract(url, '^https?://[^/]*') o, string_split(ltrim(path, '/'), '/') s FROM pg), c AS (SELECT seq, o, s[1:greatest(len(s) - 2, 0)] d FROM b)
+SELECT seq, o || '/' || array_to_string(list_concat(d, ['up', 'x']), '/') || '?a=1&b=2' resolved, o || '/' || array_to_string(list_concat(d, ['md', seq || '.md']), '/') markdown FROM c""",
     "classify_pages": PAGES_SQL + "SELECT seq, path, kind FROM pg",
     "score_pages": _RANKED + "SELECT seq, round(score, 6) score FROM sc",
     "rank_pages": _RANKED + "SELECT site_id, seq, url, kind, round(score, 6) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, seq) rank FROM sc) WHERE rank <= 50",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions.html import extract_pages
@@ -67,10 +67,11 @@ def sitemap_entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sitemap_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages that a walk from each site's sitemap finds, through its index."""
+    """Pages that a walk finds from the sitemaps that robots files name and from the usual places, through indexes."""
     bodies = materialize(sitemap_bodies(spark, root))
-    seeds = bodies.select("site_id", F.col("o").alias("origin"), F.lit(0).alias("pos"), F.concat("o", F.lit("sitemap.xml")).alias("sitemap")).distinct()
-    return sitemap.collect(seeds, bodies.select("sitemap", "body"), 2000).select("site_id", F.col("pos").cast("long").alias("pos"), "url")
+    origins = bodies.select("site_id", F.regexp_replace("o", "/$", "").alias("origin")).distinct()
+    hints = robots.sitemap_hints(robots.directives(robots_bodies(spark, root)))
+    return sitemap.collect(sitemap.seeds(origins, hints), bodies.select("sitemap", "body"), 2000).select("site_id", F.col("pos").cast("long").alias("pos"), "url")
 
 
 def html_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -189,20 +190,50 @@ def eval_ambiguous(spark: SparkSession, root: str) -> DataFrame:
     return plan.ambiguous(_evaluation(spark, root))
 
 
-def crawl_statistics(spark: SparkSession, root: str) -> DataFrame:
-    """Outcomes of fetches made of the crawled pages, and their statistics."""
+#: Budget of the registered crawl: small enough that it binds on the tables at hand.
+CRAWL_PAGES = 25
+
+
+def _fetches(spark: SparkSession, root: str) -> DataFrame:
+    """Fetches made of the crawled pages: some fail, redirect, aren't HTML or aren't to be indexed."""
     rows = pages(spark, root, ["from_sitemap", "inbound_links"]).join(entries(spark, root).select("site_id", "entry_url"), "site_id")
     fetches = rows.select(
         "site_id", "seq", "entry_url", F.col("url").alias("requested_url"), F.when(F.col("seq") % 23 == 0, F.col("entry_url")).when(F.col("seq") % 29 == 0, "https://elsewhere.example/").otherwise(F.col("url")).alias("final_url"),
         F.when(F.col("seq") % 19 == 0, 404).otherwise(200).alias("status"), F.when(F.col("seq") % 31 == 0, "application/json").otherwise("text/html; charset=utf-8").alias("content_type"), F.lit(False).alias("scope_to_path"), (F.col("seq") % 37 == 0).alias("noindex"),
         F.col("from_sitemap").alias("in_sitemap"), (F.coalesce("inbound_links", F.lit(0)) > 0).alias("via_link"),
     )
-    return crawl.statistics(crawl.outcomes(fetches))
+    return fetches
+
+
+def crawl_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """Outcomes of fetches made of the crawled pages, and their statistics."""
+    return crawl.statistics(crawl.outcomes(_fetches(spark, root)))
+
+
+def crawl_inputs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What :func:`site_crawl` reads: entries, sitemap URLs in scope, outcomes of fetches, links in scope, and what robots files deny."""
+    start = entries(spark, root).select("site_id", "entry_url", F.lit(False).alias("scope_to_path"))
+    fetched = materialize(crawl.outcomes(_fetches(spark, root)).select("site_id", F.col("requested_url").alias("url"), "seq", "in_sitemap", "outcome"))
+    own = Window.partitionBy("site_id").orderBy("seq")
+    listed = fetched.where("in_sitemap").withColumn("pos", F.row_number().over(own)).where(F.col("pos") <= 4 * CRAWL_PAGES).select("site_id", "url", "pos")
+    access = robots.access(fetched.select("site_id", "url"), robots.directives(robots_bodies(spark, root)), spark.createDataFrame([("SiteQuarry/1.0",)], "token string"))
+    links = crawl.edges(_links(spark, root))
+    # only pages of this collection can be fetched; the entry is one of them
+    first = start.join(fetched.groupBy("site_id").agg(F.min_by("url", "seq").alias("url")), "site_id").select("site_id", F.coalesce("url", "entry_url").alias("entry_url"))
+    return {
+        "entries": first, "sitemap": crawl.scoped(listed, start, "url"), "fetched": fetched.select("site_id", "url", "outcome"),
+        "links": materialize(crawl.scoped(links, start, "to_url")), "denied": materialize(access.where("NOT allowed").select("site_id", "url")),
+    }
+
+
+def site_crawl(spark: SparkSession, root: str) -> DataFrame:
+    """The whole crawl: robots, scope, sitemap and links, gates of fetches, page budget and cap of visits."""
+    return crawl.crawl(**crawl_inputs(spark, root), max_depth=3, max_pages=CRAWL_PAGES)
 
 
 QUERIES = {
     "robots_rules": robots_rules, "robots_delays": robots_delays, "robots_sitemaps": robots_sitemaps, "robots_access": robots_access, "sitemap_entries": sitemap_entries, "sitemap_pages": sitemap_pages,
-    "html_extract": html_extract, "html_fields": html_fields, "crawl_pages": crawl_pages, "crawl_depths": crawl_depths, "crawl_finished": crawl_finished, "crawl_statistics": crawl_statistics, "inbound_counts": inbound_counts,
+    "html_extract": html_extract, "html_fields": html_fields, "crawl_pages": crawl_pages, "crawl_depths": crawl_depths, "crawl_finished": crawl_finished, "crawl_statistics": crawl_statistics, "site_crawl": site_crawl, "inbound_counts": inbound_counts,
     "audit_bots": audit_bots, "audit_counts": audit_counts, "audit_existing": audit_existing, "audit_checks": audit_checks, "audit_report": audit_report, "plan_apply": plan_apply, "eval_accuracy": eval_accuracy, "eval_ambiguous": eval_ambiguous,
 }
 

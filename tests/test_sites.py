@@ -1,6 +1,8 @@
 import gzip
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.operators import audit, crawl, plan, robots, sitemap
@@ -81,6 +83,62 @@ def test_sitemap_walk(spark):
     assert [r.url for r in got] == ["https://a.com/p", "https://a.com/r"]
 
 
+def test_sitemap_walk_by_batches(spark):
+    """Off-site children are left, packed files read, repeats use up their place in a batch, and a site ends after the batch with its 25th sitemap."""
+    index = lambda urls: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+    page = lambda n: f"<urlset><url><loc>https://a.com/p{n}</loc></url></urlset>"
+    files = [("https://a.com/robots-map.xml", 200, index([f"https://a.com/c{i}.xml" for i in range(40)] + ["https://b.com/off.xml"]).encode()), ("https://b.com/off.xml", 200, page("off").encode())]
+    files += [(f"https://a.com/c{i}.xml", 200, page(i).encode()) for i in range(40)] + [("https://a.com/sitemap.txt", 404, b"https://a.com/never"), ("https://c.com/m.xml.gz", 200, gzip.compress(b"https://c.com/z"))]
+    bodies = sitemap.read_bodies(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in files], "sitemap string, status int, content binary"))
+    origins = spark.createDataFrame([("s", "https://a.com"), ("t", "https://c.com")], "site_id string, origin string")
+    hints = spark.createDataFrame([("s", 3, "https://a.com/robots-map.xml"), ("s", 9, "https://a.com/sitemap.xml"), ("t", 0, "https://c.com/m.xml.gz")], "site_id string, no int, sitemap string")
+    seeds = sitemap.seeds(origins, hints)
+    assert [r.sitemap for r in seeds.where("site_id = 's'").orderBy("pos").limit(3).collect()] == ["https://a.com/robots-map.xml", "https://a.com/sitemap.xml", "https://a.com/sitemap_index.xml"]
+    got = sitemap.collect(seeds, bodies, 100).collect()
+    # 7 places to begin with, then 18 of the 40 children: batches of 5 end at 25 seen
+    assert sorted((r.pos, r.url) for r in got if r.site_id == "s") == [(i + 1, f"https://a.com/p{i}") for i in range(18)]
+    assert [r.url for r in got if r.site_id == "t"] == ["https://c.com/z"]
+    assert sitemap.collect(seeds, bodies, 4).where("site_id = 's'").count() == 4
+    assert sitemap.collect(seeds.where("false"), bodies, 4).count() == 0
+
+
+def queue_crawl(entries, listed, outcome, links, denied, max_depth, max_pages):
+    """First in, first out, one URL at a time."""
+    stored = []
+    for site, entry in entries:
+        queue, visited, pages = [(entry, 0)] + [(u, 1) for u in listed.get(site, [])], set(), []
+        while queue and len(pages) < max_pages and len(visited) < 3 * max_pages:
+            url, depth = queue.pop(0)
+            if url in visited or (site, url) in denied or (site, url) not in outcome:
+                continue
+            visited.add(url)
+            if outcome[site, url] != "page":
+                continue
+            pages.append(url)
+            stored.append((site, url, depth, len(pages)))
+            queue += [(u, depth + 1) for u in links.get((site, url), []) if depth + 1 <= max_depth]
+    return stored
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_crawl_equals_a_queue(spark, seed):
+    rng = random.Random(seed)
+    urls = [f"https://a.com/{i}" for i in range(60)]
+    sites = ["s", "t", "empty"]
+    outcome = {(s, u): rng.choice(["page", "page", "page", "failed", "skipped"]) for s in sites for u in urls} | {(s, urls[0]): "page" for s in sites}
+    links = {(s, u): [rng.choice(urls) for _ in range(4)] for s in sites for u in urls}
+    denied, listed = {(s, rng.choice(urls[1:])) for s in sites for _ in range(5)}, {"s": [rng.choice(urls) for _ in range(6)]}
+    edges = [(s, u, k, v) for (s, u), vs in links.items() for k, v in enumerate(vs)]
+    for most in (4, 12, 500):
+        want = queue_crawl([(s, urls[0]) for s in sites], listed, outcome, links, denied, 3, most)
+        got = crawl.crawl(
+            spark.createDataFrame([(s, urls[0]) for s in sites], "site_id string, entry_url string"), spark.createDataFrame([("s", u, k) for k, u in enumerate(listed["s"])], "site_id string, url string, pos int"),
+            spark.createDataFrame([(s, u, o) for (s, u), o in outcome.items()], "site_id string, url string, outcome string"), spark.createDataFrame(edges, "site_id string, from_url string, pos int, to_url string"),
+            3, most, spark.createDataFrame(sorted(denied), "site_id string, url string"),
+        )
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def graph(spark, links):
     urls = sorted({u for f, ts in links.items() for u in (f, *ts)})
     pages = spark.createDataFrame([("s", f"https://a.com/{u}") for u in urls if u != "gone"], "site_id string, url string")
