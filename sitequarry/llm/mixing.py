@@ -77,10 +77,13 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 20260) -> DataFram
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, actual_share, tokens, documents) of every target; zeros for sources without documents."""
+    """(mix_id, source, target_share, actual_share, deviation, tokens, documents, most_repeats) of every target; zeros for sources without documents.
+
+    ``deviation`` is the actual less the target share: a source without documents leaves its share to the others.
+    """
     got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     wanted = targets.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"))
     both = wanted.join(got, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_repeats"])
     total = F.sum("tokens").over(Window.partitionBy("mix_id"))
     actual = F.when(total > 0, F.col("tokens") / total).otherwise(0.0)
-    return both.select("mix_id", "source", "target_share", F.round(actual, 9).alias("actual_share"), "tokens", "documents", "most_repeats")
+    return both.select("mix_id", "source", "target_share", F.round(actual, 9).alias("actual_share"), F.round(actual - F.col("target_share"), 9).alias("deviation"), "tokens", "documents", "most_repeats")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +16,11 @@ from sitequarry.sources.tables import materialize
 BLOCK = 8192
 #: Kinds of containers packed at once, at most.
 MOST_KINDS = 1000
-#: Search nodes a block beyond the first descent, and fillings tried at a node.
+#: Search nodes a block beyond the first descent, and fillings tried at a node: the budget of the search. What it leaves open is
+#: reported as the gap to the lower bound.
 EXTRA_NODES, BRANCHES = 400, 3
+#: Up to so many different sizes every one of them begins a triple, of more those at eight places.
+EVERY_SIZE = 48
 
 
 def pieces(documents: DataFrame, containers: DataFrame) -> DataFrame:
@@ -58,6 +62,24 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Martello and Toth's bound L2: no packing has fewer containers.
+
+    For each threshold k up to half the capacity, pieces above capacity - k stand alone, pieces above half stand apart,
+    and what pieces from k to half are too much for the room left beside the latter needs further containers.
+    """
+    falling = sorted(sizes, reverse=True)
+    rising = [-x for x in falling]
+    before = [0, *accumulate(falling)]
+    half = bisect_left(rising, -(capacity / 2))
+    best = -(-before[-1] // capacity)
+    for k in {x for x in falling[half:]} | {0}:
+        alone, small = bisect_left(rising, k - capacity), bisect_right(rising, -k)
+        room = (half - alone) * capacity - (before[half] - before[alone])
+        best = max(best, half + max(0, -(-(before[small] - before[half] - room) // capacity)))
+    return best
+
+
 class _Stock:
     """Multiset of the sizes not yet placed."""
 
@@ -133,7 +155,11 @@ def fillings(stock: _Stock, room: int, most: int) -> list[tuple[int, ...]]:
         if one < room:
             options += [p for p in _pairs(stock, room, most) if sum(p) > one]
             if all(sum(o) < room for o in options):
-                for first in stock.keys[-1:bisect_right(stock.keys, room // 3):-max(1, len(stock.keys) // 8)] + [one]:
+                # the greatest of a triple has at least a third of the room it fills
+                firsts = stock.keys[bisect_left(stock.keys, room // 3) : bisect_left(stock.keys, room)]
+                if len(firsts) > EVERY_SIZE:
+                    firsts = firsts[:: -(len(firsts) // 8)] + [one]
+                for first in firsts:
                     if first < room:
                         stock.take(first)
                         options += [(first, *p) for p in _pairs(stock, room - first, 1)]
@@ -155,11 +181,11 @@ def complete_bins(sizes: list[int], capacity: int, extra_nodes: int = EXTRA_NODE
     """Bins by bin completion: each holds the largest size left and a filling; branch and bound on the waste.
 
     Best-fit decreasing gives the first incumbent. A node is pruned when the bins so far and the least number
-    that the sizes left need reach the incumbent's. The search ends at the least possible number of bins or after
+    that the sizes left need reach the incumbent's. The search ends at the bound :func:`least_bins` or after
     ``extra_nodes`` nodes beyond the first descent.
     """
     incumbent = best_fit(sizes, capacity)
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     if len(incumbent) <= least:
         return incumbent
     stock, chosen, stack = _Stock(sizes), [], []
@@ -203,29 +229,32 @@ def pack_block(frame: pd.DataFrame) -> pd.DataFrame:
     for at, size in enumerate(sizes):
         waiting.setdefault(size, []).append(at)
     number, place, fill = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
-    for k, content in enumerate(complete_bins(sizes, capacity), 1):
+    bins = complete_bins(sizes, capacity)
+    least = least_bins(sizes, capacity)
+    for k, content in enumerate(bins, 1):
         total = sum(content)
         for j, size in enumerate(content, 1):
             at = waiting[size].pop()
             number[at], place[at], fill[at] = k, j, total
-    return frame.assign(container_no=number, place=place, fill=fill)[["container_kind", "capacity", "block", "container_no", "place", "doc_id", "piece_no", "tokens", "fill"]]
+    return frame.assign(container_no=number, place=place, fill=fill, least=least)[["container_kind", "capacity", "block", "container_no", "place", "doc_id", "piece_no", "tokens", "fill", "least"]]
 
 
 def pack(documents: DataFrame, containers: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(container_kind, capacity, block, container_no, place, doc_id, piece_no, tokens, fill): where each piece goes.
+    """(container_kind, capacity, block, container_no, place, doc_id, piece_no, tokens, fill, least): where each piece goes.
 
-    A container is named by kind, block and container_no; ``fill`` is its total. Pieces as large as the capacity
+    A container is named by kind, block and container_no; ``fill`` is its total and ``least`` the fewest containers its
+    block can do with. Pieces as large as the capacity
     are containers of their own (block -1) and never leave the JVM. The others are cut into blocks by a hash of
     doc_id, so that each task call packs about ``block`` of them; each block leaves at most one container badly filled.
     """
     rows = materialize(pieces(documents, containers))
     full = rows.where("tokens = capacity").select(
         "container_kind", "capacity", F.lit(-1).cast("long").alias("block"), F.xxhash64("doc_id", "piece_no").alias("container_no"), F.lit(1).cast("long").alias("place"),
-        "doc_id", "piece_no", "tokens", F.col("tokens").alias("fill"),
+        "doc_id", "piece_no", "tokens", F.col("tokens").alias("fill"), F.lit(1).cast("long").alias("least"),
     )
     rest = rows.where("tokens < capacity")
     most = rest.groupBy("container_kind").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // block))
     cut = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    packed = cut.groupBy("container_kind", "block").applyInPandas(pack_block, "container_kind string, capacity int, block long, container_no long, place long, doc_id long, piece_no int, tokens long, fill long")
+    packed = cut.groupBy("container_kind", "block").applyInPandas(pack_block, "container_kind string, capacity int, block long, container_no long, place long, doc_id long, piece_no int, tokens long, fill long, least long")
     return packed.unionByName(full)
