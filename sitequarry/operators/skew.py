@@ -66,3 +66,16 @@ def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, Data
     slots = materialize(wanted.where(F.col(name).isNotNull()).select(slot(F.col(name)).alias("_slot")).distinct()).withColumn("_in", F.lit(True))
     marked = rows.withColumn("_slot", F.when(F.col(key).isNotNull(), slot(F.col(key)))).join(F.broadcast(slots), "_slot", "left").drop("_slot")
     return marked.where("_in").drop("_in"), marked.where("_in IS NULL").drop("_in")
+
+
+def newest_rows(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row a ``key``, the one with the greatest ``order`` (ties: any of the equal rows); rows with a null key are left out.
+
+    Where few keys come more than once only their rows are shuffled whole, see :func:`sieve`; of the others just the keys.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    repeated = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    doubtful, sure = sieve(rows, key, repeated)
+    names = [c for c in rows.columns if c != key]
+    best = doubtful.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("_r")).select(key, "_r.*")
+    return sure.select(key, *names).unionByName(best)

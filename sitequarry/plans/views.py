@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions.text import normalize_whitespace
 from sitequarry.functions.urls import ensure_url, normalize_url, path
 from sitequarry.operators.pages import classify
+from sitequarry.operators.skew import newest_rows
 from sitequarry.sources.tables import table
 
 #: Columns that ranking and grouping need, and those that documents need besides.
@@ -26,7 +27,7 @@ def pages(spark: SparkSession, root: str, columns: list[str] | None = None) -> D
     columns = LINKED if columns is None else columns
     own = [F.substring(normalize_whitespace(F.col("text")), 1, LEAD).alias("lead") if c == "lead" else F.col(c) for c in columns]
     raw = table(spark, root, "crawled_pages").where("page_id IS NOT NULL AND url IS NOT NULL").select("page_id", "loaded_at", "site_id", "url", *own)
-    once = raw.groupBy("page_id").agg(F.max_by(F.struct("site_id", "url", *columns), "loaded_at").alias("r")).select(F.col("page_id").alias("seq"), "r.*")
+    once = newest_rows(raw, "page_id", F.col("loaded_at")).drop("loaded_at").withColumnRenamed("page_id", "seq")
     normal = once.withColumn("url", normalize_url(ensure_url(F.col("url")))).where("url IS NOT NULL")
     first = normal.groupBy("site_id", "url").agg(F.min_by(F.struct("seq", *columns), "seq").alias("r")).select("site_id", "url", "r.*")
     return first.withColumns({"path": path(F.col("url")), "kind": classify(F.col("url"))})
