@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.characters import ORDER, TABLE_BITS, CharacterModel, codes_of, line_means, ratio_table, slots
+from sitequarry.llm.rows import one_per_page
 from sitequarry.sources.tables import materialize
 
 FIELDS = ("text", "description")
@@ -350,6 +351,6 @@ def residue_spans(pages: DataFrame) -> DataFrame:
 def without_residue(pages: DataFrame) -> DataFrame:
     """(page_id, text, description): the pages with each affected value set to null; the rest pass on unchanged."""
     bad = residue_spans(pages).select("page_id", "field").distinct().groupBy("page_id").agg(F.collect_set("field").alias("bad"))
-    rows = pages.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max_by(F.struct(*FIELDS), F.struct("loaded_at", F.xxhash64(*FIELDS))).alias("r")).select("page_id", "r.*")
+    rows = one_per_page(pages, list(FIELDS))
     joined = rows.join(bad, "page_id", "left")
     return joined.select("page_id", *[F.when(~F.coalesce(F.array_contains("bad", f), F.lit(False)), F.col(f)).alias(f) for f in FIELDS])

@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.operators.skew import newest_rows
+
 
 def one_per_page(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row a page_id: the delivery with the latest ``loaded_at`` (ties: greatest values). Null page_ids are left out.
 
-    A delivered-twice page has few deliveries, so partial aggregation leaves at most one row a task and page.
+    Only rows of pages that were delivered more than once are shuffled with their values.
     """
-    rank = [F.coalesce("loaded_at", F.timestamp_micros(F.lit(-(2**55))))]
-    best = F.max_by(F.struct(*columns), F.struct(*rank, F.xxhash64(*columns)))
-    return rows.where("page_id IS NOT NULL").groupBy("page_id").agg(best.alias("r")).select("page_id", "r.*")
+    rank = F.coalesce("loaded_at", F.timestamp_micros(F.lit(-(2**55))))
+    return newest_rows(rows.select("page_id", "loaded_at", *columns), "page_id", F.struct(rank, F.xxhash64(*columns))).drop("loaded_at")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
