@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitequarry.operators import jobs
@@ -10,7 +10,10 @@ from sitequarry.plans.history_queries import _S, _snapshots, _with_text_times
 from sitequarry.plans.site_queries import audit_bots
 from sitequarry.sources.tables import materialize, table
 
-_NOW = F.to_timestamp(F.lit("2030-01-02 03:04:05"))
+
+
+def _now() -> Column:
+    return F.to_timestamp(F.lit("2030-01-02 03:04:05"))
 
 
 def _requests(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +36,7 @@ def _jobs(spark: SparkSession, root: str) -> DataFrame:
 
 def started_jobs(spark: SparkSession, root: str) -> DataFrame:
     """All jobs after one was started for each valid request."""
-    return jobs.start_jobs(_jobs(spark, root), jobs.valid_options(_requests(spark, root)).drop("entry_url"), _NOW).drop("url")
+    return jobs.start_jobs(_jobs(spark, root), jobs.valid_options(_requests(spark, root)).drop("entry_url"), _now()).drop("url")
 
 
 def advanced_jobs(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +44,7 @@ def advanced_jobs(spark: SparkSession, root: str) -> DataFrame:
     rows = _jobs(spark, root)
     k = F.length("job_id") + F.coalesce("target", F.lit(0))
     slices = rows.select("job_id", (F.coalesce("fetched", F.lit(0)) + 6).cast("int").alias("fetched"), F.lit(3).alias("queued"), (k % 3 == 0).alias("done"), F.when(k % 7 == 0, "time out").alias("error"))
-    return jobs.advance_jobs(rows, slices, _NOW).drop("url")
+    return jobs.advance_jobs(rows, slices, _now()).drop("url")
 
 
 def kept_jobs(spark: SparkSession, root: str) -> DataFrame:
@@ -73,7 +76,7 @@ def _tracked(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     last = known.groupBy("site_id").agg(F.max_by("content_hash", F.struct("created_at", "snapshot_id")).alias("content_hash"))
     sites = table(spark, root, "sites")
     results = sites.select("site_id").join(last, "site_id", "left").select("site_id", F.concat(F.lit("new-"), "site_id").alias("snapshot_id"), F.when(n % 2 == 0, F.upper("content_hash")).otherwise(F.lit("moved")).alias("content_hash"))
-    return jobs.track(sites, known, results, _NOW)
+    return jobs.track(sites, known, results, _now())
 
 
 def tracked_snapshots(spark: SparkSession, root: str) -> DataFrame:
