@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -17,6 +19,11 @@ def test_query_runs_on_the_smallest_tables(spark, name):
     rows.write.format("noop").mode("overwrite").save()
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+
+
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
