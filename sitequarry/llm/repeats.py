@@ -47,13 +47,14 @@ def line_statistics(lines: DataFrame) -> DataFrame:
     """
     sizes = lines.groupBy("site_id", "field").agg(F.count("*").alias("n"))
     hits = lines.select("site_id", "field", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("hash"))
-    counts = hits.groupBy("site_id", "field", "hash").agg(F.count("*").alias("k"))
+    counts = materialize(hits.groupBy("site_id", "field", "hash").agg(F.count("*").alias("k")))
     # a site has about as many lines as it has pages: hot sites are those of many pages
-    counts = materialize(attach(counts.where("k > 1"), sizes, ["site_id", "field"], "n", lines.count()))
-    candidates = counts.where((F.col("k") >= LEAST_PAGES) & (F.col("k") >= LEAST_SHARE * F.col("n")))
-    keys = candidates.select("field", "hash").distinct()
-    near = F.col("k") >= LEAST_SHARE * F.col("n")
-    totals = counts.join(keys, ["field", "hash"], "left_semi").groupBy("field", "hash").agg(
+    total, near = lines.count(), F.col("k") >= LEAST_SHARE * F.col("n")
+    candidates = attach(counts.where(F.col("k") >= LEAST_PAGES), sizes, ["site_id", "field"], "n", total).where(near)
+    # a site that has the line on a single page counts outside like any other
+    same = counts.join(candidates.select("field", "hash").distinct(), ["field", "hash"], "left_semi")
+    seen = attach(same, sizes, ["site_id", "field"], "n", total)
+    totals = seen.groupBy("field", "hash").agg(
         F.sum(F.when(near, F.col("n")).otherwise(0)).alias("near_n"), F.sum(F.when(near, 0).otherwise(F.col("k"))).alias("rare_k")
     )
     all_pages = sizes.groupBy("field").agg(F.sum("n").alias("all_n"))

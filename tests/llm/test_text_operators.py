@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitequarry.llm import boilerplate
 from sitequarry.llm.boilerplate import body_lines, body_text, boilerplate_lines, fit, line_scores, line_weights, regions, strip_markup
 from sitequarry.llm.encoding import garbled, restored, undo
-from sitequarry.llm.repeats import chi2_tail, repeated_lines, without_repeats
+from sitequarry.llm.repeats import chi2_tail, line_statistics, page_lines, repeated_lines, without_repeats
 from sitequarry.llm.residue import PLACEHOLDER, residue_spans, without_residue
 from sitequarry.llm.truncation import features, hidden_limits, truncated, truncation_rates
 
@@ -51,6 +51,16 @@ def test_a_line_of_all_sites_is_still_in_excess(spark):
     assert repeated_lines(frame(spark, rows)).where("line_no = 1").count() == 120
 
 
+def test_sites_with_a_line_on_a_single_page_count_outside(spark):
+    rng = random.Random(4)
+    sizes = {"home": (160, 8), "twice": (50, 2), "small": (10, 1), **{f"once{s}": (25, 1) for s in range(12)}}
+    rows = [page(1000 * k + i, ("Read more\n" if i < hits else "") + prose(rng), site=site) for k, (site, (pages, hits)) in enumerate(sizes.items()) for i in range(pages)]
+    rows += [page(90_000, "Read more", site=None), page(90_001, prose(rng), site=None)]
+    got = line_statistics(page_lines(frame(spark, rows))).where("site_id = 'home'").collect()
+    # the site itself is left out, and so are the two small sites, one of them without a name: the line isn't rare there
+    assert [(r.k, r.n, r.outside_k, r.outside_n) for r in got] == [(8, 160, 2 + 12 + 0.5, 50 + 12 * 25 + 1000)]
+
+
 def test_repeats_of_empty_tables(spark):
     assert repeated_lines(frame(spark, [])).count() == 0 and without_repeats(frame(spark, [])).count() == 0
 
