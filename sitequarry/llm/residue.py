@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,21 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.characters import ORDER, TABLE_BITS, CharacterModel, codes_of, line_means, ratio_table, slots
-from sitequarry.llm.rows import one_per_page
+from sitequarry.llm.grams import FLUSH, WINDOWS, WindowCounts, log_ratios, slot, steps, whole, window_rows, windows
+from sitequarry.llm.rows import one_per_page, union_all
 from sitequarry.sources.tables import materialize
 
 FIELDS = ("text", "description")
 
-#: Pages that the models are fitted on, at most: with a text of usual length, and with one below SHORT times the median.
-SAMPLE_FULL, SAMPLE_SHORT, SHORT = 3000, 3000, 0.25
+#: The models: the collection's filler and notices with the seeds of each, filler Latin, natural text.
+FILLED, NOTICED, LATIN_TEXT, NATURAL = 0, 1, 2, 3
+#: A text is short, and stands in place of a page, below this share of the median length.
+SHORT = 0.25
 #: A wording beside so large a share of the full pages is furniture; a line of full pages above FOREIGN is no natural text.
 FURNITURE_SHARE, FOREIGN = 0.003, 0.6
-#: A line of full pages is no natural text, either, when it has so large a share of its n-grams from the examples.
-KNOWN = 0.8
+#: A line of full pages is no natural text, either, when so large a share of it is in sentences that joined the examples, or of its
+#: n-grams in the seeds. Only lines with the share SEEN of their n-grams in examples are looked up by their sentences.
+KNOWN, SEEN = 0.8, 0.5
 #: Both ends of a sentence in place of a page are a template's when so large a share of the short texts, on two sites at least, have them.
 TEMPLATE_SHARE = 0.01
-#: Characters of a sampled text that the natural model is fitted on, at most, so that the sample is bounded in bytes.
-MOST_CHARS = 20_000
 #: Width of the likelihood-ratio windows; a window above LEAST_RATIO (mean natural logarithm a character) is residue.
 WINDOW, LEAST_RATIO = 14, 0.6
 #: A sentence of which this share lies in residue windows is residue (a quotation covers less of its sentence); a sentence in place of
@@ -142,73 +145,171 @@ def sentence_ends(key: str) -> list[tuple]:
     return [("first", len(words), *words[:2]), ("last", len(words), *words[-2:])] if len(words) > 3 else []
 
 
-class Examples:
-    """What the models are fitted on: values that stand for a whole page, and values in place of one.
+def key_of(key: str) -> int:
+    """A 64-bit hash of a wording or a mark of one that is the same in every process."""
+    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    ``full``: (text, description) of pages with a text of usual length; ``short``: (site, text) of texts far below it.
-    """
 
-    def __init__(self, full: list[tuple[str | None, str | None]], short: list[tuple[str, str]]) -> None:
-        self.full, self.short = full, short
+def told_lines(batch: pa.RecordBatch) -> Iterator[str]:
+    """The lines of full pages and of their descriptions."""
+    for column in batch.columns:
+        for value in column.to_pylist():
+            if value:
+                yield from (_plain(x) for x in value.split("\n") if x.strip())
+
+
+#: Rows of a count of wordings (model -1: hash and number) and of windows of natural text.
+_WORDING = -1
+
+
+def _count_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, wordings = WindowCounts(), Counter()
+    empty = np.zeros((0, ORDER), np.uint32)
+
+    def said() -> pa.RecordBatch:
+        rows = window_rows(_WORDING, np.zeros(0, np.int64), np.zeros(0, np.int64), empty)
+        n = len(wordings)
+        columns = [pa.array(np.full(n, _WORDING, np.int32)), pa.array([None] * n, pa.string()), pa.array(wordings.keys(), pa.int64()), pa.array(wordings.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, rows.schema.names)
+
+    for lines, numbers in steps(x for b in batches for x in told_lines(b)):
+        counts.add(NATURAL, lines, numbers)
+        for x, n in zip(lines, numbers, strict=True):
+            wordings[key_of(wording(x))] += n
+        yield from counts.take()
+        if len(wordings) > FLUSH:
+            yield said()
+            wordings.clear()
+    yield from counts.take(last=True)
+    yield said()
+
+
+def _left_out(usual: frozenset[int], known: frozenset[int], template: frozenset[int], given: np.ndarray, seen: np.ndarray, ratios: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows, counted off, of lines of unusual wording that consist of known sentences or of the seeds' n-grams, or are above FOREIGN by the ratios."""
+
+    def joined(line: str) -> bool:
+        parts = [(x, wording(x)) for x in sentences(line)]
+        own = sum(len(x) for x, w in parts if key_of(w) in known or any(key_of(repr(e)) in template for e in sentence_ends(w)))
+        return own >= KNOWN * sum(len(x) for x, _ in parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = WindowCounts(sign=-1)
+        for lines, numbers in steps(x for b in batches for x in told_lines(b)):
+            out = line_means(lines, ratios) >= FOREIGN if ratios is not None else np.zeros(len(lines), bool)
+            # what the seeds have is seen, too
+            doubtful = np.flatnonzero(~out & (line_means(lines, seen) >= SEEN))
+            if len(doubtful):
+                made = line_means([lines[k] for k in doubtful], given) >= KNOWN
+                out[doubtful] = [y or joined(lines[k]) for k, y in zip(doubtful, made, strict=True)]
+            out = [k for k in np.flatnonzero(out) if key_of(wording(lines[k])) not in usual]
+            counts.add(NATURAL, [lines[k] for k in out], [numbers[k] for k in out])
+            yield from counts.take()
+        yield from counts.take(last=True)
+
+    return count
+
+
+_SENTENCES = "key long, site long, text string, ends array<long>"
+
 
+def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences of short texts: wording, site, the sentence and the marks of its ends."""
+    for batch in batches:
+        out = []
+        for site, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x in sentences(text):
+                if len(x) >= ORDER and not PLACEHOLDER.search(x):
+                    key = wording(x)
+                    out.append((key_of(key), site, x, [key_of(repr(e)) for e in sentence_ends(key)]))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _SENTENCES.split(", ")])
 
-def fit(examples: Examples, filler: str = FILLER, notices: str = NOTICES, seed: int = 7) -> np.ndarray:
+
+_EXAMPLES = "key long, model int, text string"
+
+
+def _join(usual: frozenset[int], template: frozenset[int], seeds: np.ndarray, table: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The wordings that join the examples: those that recur, and, given a table, those that it covers; each with its class."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[0] not in usual]
+            covered = np.zeros(len(rows))
+            if table is not None and rows:
+                owner, _, _, coverage = sentence_coverage([r[1] for r in rows], table)
+                np.maximum.at(covered, owner, coverage)
+            rows = [r for r, c in zip(rows, covered, strict=True) if r[2] or any(e in template for e in r[3]) or c >= JOIN_COVERAGE]
+            side = line_means([r[1] for r in rows], seeds) > 0 if rows else np.zeros(0, bool)
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.where(side, FILLED, NOTICED), pa.int32()), pa.array([r[1] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _EXAMPLES.split(", ")])
+
+    return choose
+
+
+def _count_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = WindowCounts()
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for model in (FILLED, NOTICED):
+            lines = [x for m, x in rows if m == model]
+            counts.add(model, lines, [1] * len(lines))
+        yield from counts.take()
+    yield from counts.take(last=True)
+
+
+def fit(pages: DataFrame, filler: str = FILLER, notices: str = NOTICES, seed: int = 7) -> np.ndarray:
     """Table of log-likelihood ratios by n-gram: the likeliest of filler, filler Latin and notices against natural text.
 
-    The collection's own wordings are learnt from where they stand. Sentences of texts far shorter than usual stand in
-    place of a page. Those whose wording recurs on several sites join the seeds, each with the class that is likelier;
-    so do those that share an end and their length with many others. The rest join when the models so far take them for
-    residue. Natural text is all lines of full
-    pages and their descriptions, so furniture is natural: a wording that at least FURNITURE_SHARE of the pages have
-    beside a full body is never residue. What has joined, and lines above FOREIGN, are left out of the natural model.
+    All pages count. The collection's own wordings are learnt from where they stand. Sentences of texts far shorter than
+    usual stand in place of a page. Those whose wording recurs on several sites join the seeds, each with the class that
+    is likelier; so do those that share an end and their length with many others. The rest join when the models so far
+    take them for residue. Natural text is all lines of full pages and their descriptions, so furniture is natural: a
+    wording that at least FURNITURE_SHARE of the pages have beside a full body is never residue. What has joined, and
+    lines above FOREIGN, are left out of the natural model: their n-grams are counted off the sums of all.
     """
+    spark = pages.sparkSession
+    rows = pages.where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    size = F.length("text")
+    median = rows.agg(F.percentile(size, F.lit(0.5))).first()[0] or 0
+    short = size < SHORT * median
+    number = {r[0]: r[1] for r in rows.groupBy(short).count().collect()}
+    full = rows.where(~short).select(*FIELDS)
+    counted = materialize(full.mapInArrow(_count_told, WINDOWS))
+    told = materialize(counted.where(F.col("model") == NATURAL).groupBy("model", "gram", "hash").agg(F.sum("n").alias("n")))
+    # as each usual wording is beside FURNITURE_SHARE of the full pages, there are at most (lines a page) / FURNITURE_SHARE
+    least = max(3.0, FURNITURE_SHARE * number.get(False, 0))
+    wordings = counted.where(F.col("model") == _WORDING).groupBy("hash").agg(F.sum("n").alias("n"))
+    usual = frozenset(r[0] for r in wordings.where(F.col("n") >= least).select("hash").collect())
+
+    brief = rows.where(short).select(F.xxhash64(F.coalesce("site_id", F.lit(""))).alias("site"), "text")
+    brief = materialize(brief.mapInArrow(_in_place, _SENTENCES))
+    several = F.min("site") != F.max("site")
+    marks = brief.select("site", F.explode("ends").alias("end")).groupBy("end").agg(F.count("*").alias("n"), several.alias("several"))
+    template = frozenset(r[0] for r in marks.where("several").where(F.col("n") >= TEMPLATE_SHARE * number.get(True, 0)).select("end").collect())
+    pool = materialize(brief.groupBy("key").agg(F.min("text").alias("text"), several.alias("several"), F.first("ends").alias("ends")))
+
     rng = random.Random(seed)
-    latin = CharacterModel([" ".join(rng.choice(LATIN) for _ in range(rng.randint(6, 16))) + "." for _ in range(1500)])
-    told = [_plain(x) for page in examples.full for value in page if value for x in value.split("\n") if x.strip()]
-    beside = Counter(wording(x) for x in told)
-    sites: dict[str, set[str]] = {}
-    ends: dict[tuple, set[str]] = {}
-    often: Counter = Counter()
-    pool: dict[str, str] = {}
-    for site, text in examples.short:
-        for x in sentences(text):
-            if len(x) >= ORDER and not PLACEHOLDER.search(x):
-                key = wording(x)
-                sites.setdefault(key, set()).add(site)
-                pool.setdefault(key, x)
-                for end in sentence_ends(key):
-                    ends.setdefault(end, set()).add(site)
-                    often[end] += 1
-    template = {e for e, s in ends.items() if len(s) > 1 and often[e] >= TEMPLATE_SHARE * len(examples.short)}
-    usual = max(3.0, FURNITURE_SHARE * len(examples.full))
-    alone = [w for w in pool if beside[w] < usual]
-    recurs = {w: len(sites[w]) > 1 or any(e in template for e in sentence_ends(w)) for w in alone}
-    recurring, single = [w for w in alone if recurs[w]], [w for w in alone if not recurs[w]]
-    first = (filler.split("\n"), notices.split("\n"))
-    seeds = [CharacterModel(x) for x in first]
-
-    def models(known: list[str]) -> list[CharacterModel]:
-        lines = [pool[w] for w in known]
-        side = line_means(lines, ratio_table([seeds[0]], [seeds[1]])) > 0 if lines else np.zeros(0, bool)
-        return [CharacterModel(list(first[0]) + [x for x, s in zip(lines, side, strict=True) if s]), CharacterModel(list(first[1]) + [x for x, s in zip(lines, side, strict=True) if not s])]
-
-    def without(known: list[str]) -> list[str]:
-        """What is told but for lines that consist of the examples' n-grams."""
-        grams = np.unique(slots(codes_of([pool[w] for w in known] + [x for part in first for x in part])[0]))
+    latin = [" ".join(rng.choice(LATIN) for _ in range(rng.randint(6, 16))) + "." for _ in range(1500)]
+    given = {FILLED: filler.split("\n"), NOTICED: notices.split("\n"), LATIN_TEXT: latin}
+    seeds = ratio_table([CharacterModel(given[FILLED])], [CharacterModel(given[NOTICED])])
+    first = pa.Table.from_batches([window_rows(m, *windows(x, [1] * len(x))) for m, x in given.items()])
+    first = spark.createDataFrame(first).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in WINDOWS.split(", ")])
+
+    def slots_of(grams: DataFrame) -> np.ndarray:
         table = np.zeros(1 << TABLE_BITS, np.float16)
-        table[grams] = 1
-        return [x for x, s in zip(told, line_means(told, table) if told else [], strict=True) if s < KNOWN or beside[wording(x)] >= usual]
+        grams = grams.where(F.col("model").isin(FILLED, NOTICED)).where(whole(F.col("gram"), ORDER))
+        table[grams.select(slot(F.col("hash")).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = 1
+        return table
 
-    natural = without(recurring)
-    table = ratio_table([*models(recurring), latin], [CharacterModel(natural, 1)])
-    owner, _, _, coverage = sentence_coverage([pool[w] for w in single], table)
-    covered = np.zeros(len(single))
-    np.maximum.at(covered, owner, coverage)
-    known = recurring + [w for w, c in zip(single, covered, strict=True) if c >= JOIN_COVERAGE]
-    natural = without(known)
-    means = line_means(natural, table) if natural else []
-    natural = [x for x, s in zip(natural, means, strict=True) if s < FOREIGN or beside[wording(x)] >= usual]
-    return ratio_table([*models(known), latin], [CharacterModel(natural, 1)])
+    def table_of(table: np.ndarray | None) -> np.ndarray:
+        known = materialize(pool.mapInArrow(_join(usual, template, seeds, table), _EXAMPLES))
+        examples = materialize(first.unionByName(known.select("model", "text").mapInArrow(_count_examples, WINDOWS)))
+        keys = frozenset(known.select("key").toArrow()["key"].to_pylist())  # a number each, of wordings in place of a page
+        out = full.mapInArrow(_left_out(usual, keys, template, slots_of(first), slots_of(examples), table), WINDOWS)
+        return log_ratios(union_all([told, out, examples]), [FILLED, NOTICED, LATIN_TEXT], NATURAL)
+
+    return table_of(table_of(None))
 
 
 def sentence_coverage(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -303,18 +404,6 @@ def hash_of(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def examples_of(pages: DataFrame, most_full: int = SAMPLE_FULL, most_short: int = SAMPLE_SHORT) -> Examples:
-    """Examples from two bounded samples: the pages with the least hashes of page_id. What is short is told from all texts."""
-    rows = pages.where("page_id IS NOT NULL AND text IS NOT NULL AND text != ''")
-    size = F.length("text")
-    total, median = rows.agg(F.count("*"), F.percentile_approx(size, 0.5, 1000)).first()
-    short, rank = size < SHORT * (median or 0), F.xxhash64(F.lit(11), "page_id")
-    full = rows.where(~short).where(F.pmod(rank, F.lit(1_000_000)) < int(min(1.0, 1.5 * most_full / max(1, total)) * 1_000_000) + 1)
-    lines = full.select(rank.alias("rank"), F.left("text", F.lit(MOST_CHARS)).alias("text"), "description").orderBy("rank").limit(most_full).collect()
-    brief = rows.where(short).select(rank.alias("rank"), "site_id", "text").orderBy("rank").limit(most_short).collect()
-    return Examples([(r[1], r[2]) for r in lines], [(r[1] or "", r[2]) for r in brief])
-
-
 def residue_spans(pages: DataFrame) -> DataFrame:
     """(page_id, field, kind, start, length) of every span of residue; offsets count characters from 0.
 
@@ -322,7 +411,7 @@ def residue_spans(pages: DataFrame) -> DataFrame:
     quoted as a subject is dropped: contexts are counted over all values, by distinct lines, so that copies of a page
     don't make a quotation. Null and empty values have no spans. A page_id delivered twice gives the same spans twice.
     """
-    table = fit(examples_of(pages))
+    table = fit(pages)
     spans = pages.where("page_id IS NOT NULL").select("page_id", F.xxhash64("site_id").alias("site"), *FIELDS).mapInArrow(_finder(table), _SPANS)
     spans = materialize(spans)
     least_sites = min(LEAST_SITES, pages.select("site_id").distinct().limit(LEAST_SITES).count())

@@ -128,6 +128,17 @@ def test_residue_kinds(spark):
     assert rest[300][0] is None and rest[0][0] == good[0][4] and rest[403][1] is None and rest[403][0] is not None and rest[401][0] is None
 
 
+def test_residue_is_learnt_from_all_pages(spark):
+    rng = random.Random(8)
+    ids = [r[0] for r in spark.range(3200).orderBy(F.xxhash64(F.lit(11), "id")).collect()]
+    notice = "Kérjük várjon, amíg a lap betöltődik."
+    # in order of a hash of page_id the notices come behind 3,170 other short texts
+    rows = [page(i, notice if k >= 3170 else prose(rng), site=f"s{k % 5}") for k, i in enumerate(ids)]
+    rows += [page(10_000 + i, "\n".join(prose(rng) for _ in range(6)), site=f"s{i % 5}") for i in range(3300)]
+    got = {r.page_id for r in residue_spans(frame(spark, rows)).collect()}
+    assert got == set(ids[3170:])
+
+
 def test_placeholder_syntax():
     for x in ("{{a}}", "${site.name}", "<%= t %>", "[[ x.y ]]", "%(name)s", "%NAME%", "$title$", "##HEAD##", "@@intro@@", "__SITE_NAME__", "{0}", "&lt;placeholder&gt;", "[INSERT TEXT HERE]", "[object Object]", "undefined", "NaN", "{% block a %}"):
         assert PLACEHOLDER.fullmatch(x), x
